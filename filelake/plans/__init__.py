@@ -1,6 +1,6 @@
 """Queries over the derived views; importing the package registers all of them."""
 
-from . import column_queries, filter_queries  # noqa: F401
+from . import column_queries, filter_queries, search_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

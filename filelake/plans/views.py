@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed, paths, text
-from ..session import utc
+from ..operators import textindex
+from ..session import prepare, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def epoch_micros(ts: str) -> "F.Column":
     return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
-def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per document: ``doc_id`` plus the scan columns."""
+def document_files(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """One file per document: ``doc_id`` plus the scan columns, and further columns of the document as asked for."""
     docs = table(spark, sf_dir, "documents")
     ext = F.element_at(F.array(*[F.lit(e) for e in ("txt", "md", "log", "csv", "json", "py", "zip", "jpg")]),
                        (F.col("doc_id") % 8 + 1).cast("int"))
@@ -27,7 +28,7 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.concat_ws("/", F.lit("/lake/docs"), "source", "lang").alias("dir"),
         F.concat(F.translate(words, "\n/", "__"), F.lit("_"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("name"),
         ext.alias("ext"), F.col("n_chars").alias("size"),
-        (F.lit(1704067200) + (F.col("doc_id") * 7919) % 31536000).alias("mtime"),
+        (F.lit(1704067200) + (F.col("doc_id") * 7919) % 31536000).alias("mtime"), *extra,
     )
     return named.withColumn("path", F.concat("dir", F.lit("/"), "name"))
 
@@ -76,6 +77,27 @@ FIELD_TYPES = {"doc.lang": "enum", "doc.quality": "number", "doc.toxic": "bool",
 
 def content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bodies of the document files whose extension is on the content list."""
-    bodies = table(spark, sf_dir, "documents").select("doc_id", text.sanitize_body("text").alias("body"))
-    listed = document_files(spark, sf_dir).where(F.col("ext").isin(*fixed.CONTENT_EXTENSIONS)).select("doc_id", "path")
-    return listed.join(bodies, "doc_id").select("path", "body")
+    docs = document_files(spark, sf_dir, "text").where(F.col("ext").isin(*fixed.CONTENT_EXTENSIONS))
+    return docs.select("path", text.sanitize_body("text").alias("body"))
+
+
+_INDEXES: dict[tuple[str, str], textindex.TextIndex] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
+    """The text index over names and bodies, written once per application to the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        out = f"{shared_dir(spark)}/text-index/{key[0]}/{sf_dir.strip('/').replace('/', '-')}"
+        _INDEXES[key] = textindex.build_text_index(scan(spark, sf_dir), content(spark, sf_dir), out)
+    return _INDEXES[key]
+
+
+def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Status feed of many indexes: ``index_id, ts, seq, state, progress, last_full_scan``."""
+    e = table(spark, sf_dir, "events")
+    state = F.when(F.col("event_type") == "view", "idle").when(F.col("event_type") == "click", "crawling").otherwise(F.col("event_type"))
+    return e.select(
+        F.col("user_id").alias("index_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
+        state.alias("state"), F.col("value").alias("progress"), F.floor("value").cast("long").alias("last_full_scan"),
+    )

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+import uuid
+from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -24,6 +27,7 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "filela
     spark = (
         builder.config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )
@@ -44,8 +48,32 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
-def utc(spark: SparkSession) -> SparkSession:
-    """Sessions handed in from outside may use another zone; dates here are always UTC."""
+_PREPARED: set[str] = set()
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Make a session from outside ready: dates are UTC, and Python workers get this package.
+
+    The package travels as one small zip per application, so tasks do not depend on what executors have installed.
+    """
     if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+    app = spark.sparkContext.applicationId
+    if app not in _PREPARED:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="filelake-zip-", dir="/tmp")) / "filelake"
+        spark.sparkContext.addPyFile(shutil.make_archive(str(target), "zip", package.parent, package.name))
+        _PREPARED.add(app)
     return spark
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Later steps then start from files any executor can read, whatever happened to the ones that made them, and a
+    result used twice is computed once.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/staged/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
