@@ -38,8 +38,10 @@ def format_number(value: Column | str) -> Column:
     """Integers without a point, anything else with at most four decimals and no trailing zeros."""
     v = _col(value)
     whole = (v == F.floor(v)) & (F.abs(v) < 1e15)
-    text = F.regexp_replace(F.format_string("%.4f", v), r"0+$", "")
-    return F.when(whole, v.cast("long").cast("string")).otherwise(F.regexp_replace(text, r"\.$", ""))
+    # Halves go to the even digit; the decimal holds every double that has a fraction.
+    exact = F.bround(v.try_cast("decimal(38,10)"), 4).cast("decimal(38,4)").cast("string")
+    text = F.regexp_replace(F.coalesce(exact, F.format_string("%.4f", v)), r"0+$", "")
+    return F.when(whole, v.cast("long").cast("string")).when(v.isNotNull(), F.regexp_replace(text, r"\.$", ""))
 
 
 def finite_number(text: Column | str) -> Column:

@@ -34,8 +34,25 @@ CTES = {
         SELECT f.path, regexp_replace(d.text, '[\x00\x02\x03]', '', 'g') AS body
         FROM documents d JOIN doc_files f USING (doc_id)
         WHERE f.ext IN ('txt', 'md', 'log', 'csv', 'json', 'py')""",
+    "old_files": """
+        SELECT path, dir, name, f.ext, size, mtime, CASE ext WHEN 'zip' THEN 'archive' WHEN 'json' THEN 'application'
+            WHEN 'jpg' THEN 'image' ELSE 'text' END AS mimeclass,
+          ext IN ('txt', 'md', 'log', 'csv', 'json', 'py') AS content_indexed,
+          doc_id IN (SELECT doc_id FROM labels) AS meta_extracted, CAST(1 AS BIGINT) AS gen FROM doc_files f""",
+    "new_scan": """
+        SELECT path, dir, name, ext, size, mtime + coalesce(quality, 0) AS mtime FROM doc_files LEFT JOIN labels USING (doc_id)
+        WHERE coalesce(toxic, 0) = 0 UNION ALL SELECT path, dir, name, ext, size, mtime FROM page_files""",
+    "applied": """
+        SELECT coalesce(n.path, o.path) AS path, coalesce(n.size, o.size) AS size, coalesce(n.mtime, o.mtime) AS mtime,
+          coalesce(n.ext, o.ext) AS ext,
+          CASE coalesce(n.ext, o.ext) WHEN 'zip' THEN 'archive' WHEN 'json' THEN 'application' WHEN 'jpg' THEN 'image' ELSE 'text' END AS mimeclass,
+          CASE WHEN n.path IS NULL THEN o.content_indexed ELSE coalesce(o.content_indexed AND o.size = n.size AND o.mtime = n.mtime, false) END AS content_indexed,
+          CASE WHEN n.path IS NULL THEN o.meta_extracted ELSE coalesce(o.meta_extracted AND o.size = n.size AND o.mtime = n.mtime, false) END AS meta_extracted,
+          CAST(CASE WHEN n.path IS NULL THEN 1 ELSE 2 END AS BIGINT) AS gen
+        FROM old_files o FULL OUTER JOIN new_scan n ON o.path = n.path""",
 }
 NEEDS = {
+    "old_files": ("doc_files",), "new_scan": ("doc_files", "page_files"), "applied": ("old_files", "new_scan"),
     "files": ("doc_files", "page_files"), "file_meta": ("doc_files",), "content": ("doc_files",),
 }
 

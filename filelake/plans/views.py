@@ -101,3 +101,21 @@ def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("index_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
         state.alias("state"), F.col("value").alias("progress"), F.floor("value").cast("long").alias("last_full_scan"),
     )
+
+
+def old_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue of generation 1: all documents, text extracted where listed, metadata where labelled."""
+    labelled = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled"))
+    docs = document_files(spark, sf_dir).join(labelled, "doc_id", "left")
+    return docs.select(
+        *SCAN, paths.mime_class("name").alias("mimeclass"), F.col("ext").isin(*fixed.CONTENT_EXTENSIONS).alias("content_indexed"),
+        F.coalesce("labelled", F.lit(False)).alias("meta_extracted"), F.lit(1).cast("long").alias("gen"),
+    )
+
+
+def new_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A later listing: toxic documents are gone, good ones changed a second later, pages are new."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
+    docs = document_files(spark, sf_dir).join(labels, "doc_id", "left").where(F.coalesce("toxic", F.lit(0)) == 0)
+    moved = docs.withColumn("mtime", F.col("mtime") + F.coalesce("quality", F.lit(0)))
+    return moved.select(*SCAN).unionByName(page_files(spark, sf_dir).select(*SCAN))
