@@ -95,7 +95,10 @@ def index(spark: SparkSession, sf_dir: str) -> textindex.TextIndex:
 
 def status_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status feed of many indexes: ``index_id, ts, seq, state, progress, last_full_scan``."""
-    e = table(spark, sf_dir, "events")
+    return status_columns(table(spark, sf_dir, "events"))
+
+
+def status_columns(e: DataFrame) -> DataFrame:
     state = F.when(F.col("event_type") == "view", "idle").when(F.col("event_type") == "click", "crawling").otherwise(F.col("event_type"))
     return e.select(
         F.col("user_id").alias("index_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
