@@ -12,25 +12,26 @@ FILTER_PATTERN = r"(?s)^\s*([a-z]+(?:\.[A-Za-z]+)?)\s*(>=|<=|!=|=|~|>|<)\s*(.*\S
 DIGITS = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 
 
+def printable(value: Column | str) -> Column:
+    """Tab and line ends become spaces, other controls go, blanks at both ends go."""
+    v = F.regexp_replace(F.translate(_col(value), "\t\n\r", "   "), r"[\x00-\x1f\x7f]", "")
+    return F.regexp_replace(v, r"^\s+|\s+$", "")
+
+
+def cut_bytes(text: Column, max_bytes: int = fixed.MAX_VALUE_BYTES) -> Column:
+    """At most ``max_bytes`` of UTF-8, whole characters only, no blanks left at the cut."""
+    raw = F.encode(text, "UTF-8")
+    return F.when(F.octet_length(text) <= max_bytes, text).otherwise(
+        F.regexp_replace(_longest_valid(raw, max_bytes), r"\s+$", ""))
+
+
 def clean_value(value: Column | str, max_bytes: int = fixed.MAX_VALUE_BYTES) -> Column:
-    """Tab and line ends become spaces, other controls go, trimmed, at most ``max_bytes`` of UTF-8.
-
-    The cut keeps whole characters: the byte prefix is taken and an incomplete tail is dropped.
-    """
-    v = F.regexp_replace(F.regexp_replace(_col(value), r"[\t\n\r]", " "), r"[\x00-\x1f\x7f]", "")
-    v = F.regexp_replace(v, r"^\s+|\s+$", "")
-    raw = F.encode(v, "UTF-8")
-    # A cut character leaves replacement characters at the end of the decoded prefix; three bytes more
-    # decide how many whole characters fit, so real replacement characters in the text survive.
-    prefix = F.substring(raw, 1, max_bytes)
-    whole = F.when(
-        F.is_valid_utf8(prefix.cast("string")), prefix.cast("string")
-    ).otherwise(_longest_valid(raw, max_bytes))
-    return F.when(F.octet_length(v) <= max_bytes, v).otherwise(F.regexp_replace(whole, r"\s+$", ""))
+    """A metadata value as stored: printable, trimmed, and cut on a character boundary."""
+    return cut_bytes(printable(value), max_bytes)
 
 
 def _longest_valid(raw: Column, max_bytes: int) -> Column:
-    shorter = [F.substring(raw, 1, max_bytes - k).cast("string") for k in (1, 2, 3)]
+    shorter = [F.substring(raw, 1, max_bytes - k).cast("string") for k in (0, 1, 2, 3)]
     return F.coalesce(*[F.when(F.is_valid_utf8(s), s) for s in shorter])
 
 

@@ -29,7 +29,7 @@ def in_scope(df: DataFrame, roots: Iterable[str] | DataFrame, col: str = "path")
         F.when(F.rtrim("root", F.lit("/")) == "", F.lit("/")).otherwise(F.rtrim("root", F.lit("/"))).alias("_root")
     ).distinct()
     inside = (
-        df.select(F.col(col).alias("_p"), F.explode(paths.ancestors(col)).alias("_root"))
+        df.select(F.col(col).alias("_p"), F.explode_outer(paths.ancestors(col)).alias("_root"))
         .join(keys, "_root", "left_semi")
         .select("_p")
         .distinct()

@@ -33,20 +33,21 @@ def number_field(key: str, value: Column, keep: Column) -> Column:
 def normalize_array(fields: Column) -> Column:
     """Clean-up of one file's fields: no key or no content drops a field, non-finite numbers go, an empty value
     with a number shows the number, exact repeats keep the first, at most 256 fields."""
-    def clean(f: Column) -> Column:
-        num = F.when(F.abs(f["num"]) < float("inf"), f["num"])
-        value = F.coalesce(values.clean_value(f["value"]), F.lit(""))
-        shown = F.when(value != "", value).otherwise(values.format_number(num))
-        return F.struct(f["key"].alias("key"), shown.alias("value"), num.alias("num"))
-
+    # Each transform names a value once, so no expression is worked out twice per field.
     present = F.filter(fields, lambda f: f.isNotNull() & (F.coalesce(f["key"], F.lit("")) != ""))
-    kept = F.filter(F.transform(present, clean), lambda f: f["value"].isNotNull())
-    return F.slice(F.array_distinct(kept), 1, fixed.MAX_FIELDS_PER_FILE)
+    clean = F.transform(present, lambda f: F.struct(
+        f["key"].alias("key"), values.printable(f["value"]).alias("value"), F.when(F.abs(f["num"]) < float("inf"), f["num"]).alias("num")))
+    shown = F.transform(clean, lambda f: F.struct(
+        f["key"].alias("key"),
+        F.when(F.coalesce(f["value"], F.lit("")) != "", values.cut_bytes(f["value"])).otherwise(values.format_number(f["num"])).alias("value"),
+        f["num"].alias("num")))
+    return F.slice(F.array_distinct(F.filter(shown, lambda f: f["value"].isNotNull())), 1, fixed.MAX_FIELDS_PER_FILE)
 
 
 def to_rows(df: DataFrame, fields: Column) -> DataFrame:
-    """One row per field of each file."""
-    return df.select("path", fields.alias("_fields")).select("path", F.inline(normalize_array(F.col("_fields"))))
+    """One row per field of each file. The outer form keeps Catalyst from building the array once more in a filter."""
+    arrays = df.select("path", fields.alias("_fields")).select("path", normalize_array(F.col("_fields")).alias("_fields"))
+    return arrays.select("path", F.inline_outer("_fields")).where("key IS NOT NULL")
 
 
 def dedupe_fields(rows: DataFrame) -> DataFrame:
@@ -79,12 +80,18 @@ def _language(s: Column) -> Column:
     return F.when(lang != "und", lang)
 
 
-def _container_fields(p: Column, ext: Column, group: str) -> list[Column]:
-    duration, rate = probe.duration_of(p), probe.positive_int(p["format"]["bit_rate"])
-    out = [number_field(f"{group}.durationSec", duration, duration > 0), number_field(f"{group}.bitrate", rate, rate > 0)]
-    if group == "video":
-        out.append(text_field("video.container", probe.container_of(p["format"]["format_name"], ext)))
-    return out
+def _container_columns(p: Column, ext: Column) -> dict[str, Column]:
+    """Facts of the container as columns, so each is worked out once however often a field uses it."""
+    return {
+        "_duration": probe.duration_of(p), "_rate": probe.positive_int(p["format"]["bit_rate"]),
+        "_container": probe.container_of(p["format"]["format_name"], ext),
+    }
+
+
+def _container_fields(group: str) -> list[Column]:
+    c = F.col
+    out = [number_field(f"{group}.durationSec", c("_duration"), c("_duration") > 0), number_field(f"{group}.bitrate", c("_rate"), c("_rate") > 0)]
+    return [*out, text_field("video.container", c("_container"))] if group == "video" else out
 
 
 def video_fields(probes: DataFrame) -> DataFrame:
@@ -96,33 +103,39 @@ def video_fields(probes: DataFrame) -> DataFrame:
     streams = F.coalesce(p["streams"], F.array().cast(schema.PROBE["streams"].dataType))
     name = lambda s: F.coalesce(s["codec_name"], F.lit(""))
     real = F.filter(
-        streams,
+        F.col("streams"),
         lambda s: (s["codec_type"] == "video") & (F.coalesce(s["disposition"]["attached_pic"], F.lit(0)) != 1)
-        & (name(s) != "") & ~(name(s).isin(*fixed.STILL_CODECS) & (F.size(streams) > 1)),
+        & (name(s) != "") & ~(name(s).isin(*fixed.STILL_CODECS) & (F.size("streams") > 1)),
+    )
+    v = F.col("v")
+    sized = (v["width"] > 0) & (v["height"] > 0) & (v["width"] <= 65536) & (v["height"] <= 65536)
+    tracks = F.transform(
+        F.filter("streams", lambda s: s["codec_type"].isin("audio", "subtitle")),
+        lambda s: F.struct((s["codec_type"] == "audio").alias("audio"), s["codec_name"].alias("codec"), s["channels"].alias("channels"),
+                           _language(s).alias("lang")))
+    facts = (
+        probes.withColumn("streams", streams).withColumn("v", F.try_element_at(real, F.lit(1)))
+        .withColumns({
+            "_depth": probe.bit_depth(v["bits_per_raw_sample"], v["pix_fmt"]), "_fps": probe.fps(v["avg_frame_rate"], v["r_frame_rate"]),
+            "_hdr": probe.hdr_class(v["side_data_list"], v["color_transfer"]), "_tracks": tracks,
+            **_container_columns(p, paths.file_ext(paths.base_name("path")))})
     )
-    prepared = probes.withColumn("streams", streams).withColumn("v", F.try_element_at(real, F.lit(1)))
-    v, has = F.col("v"), F.col("v").isNotNull()
-    sized = has & (v["width"] > 0) & (v["height"] > 0) & (v["width"] <= 65536) & (v["height"] <= 65536)
-    depth, rate = probe.bit_depth(v["bits_per_raw_sample"], v["pix_fmt"]), probe.fps(v["avg_frame_rate"], v["r_frame_rate"])
+    has = v.isNotNull()
     picture = F.array(
-        text_field("video.codec", v["codec_name"], has), number_field("video.width", v["width"], sized),
-        number_field("video.height", v["height"], sized),
-        text_field("video.hdr", probe.hdr_class(v["side_data_list"], v["color_transfer"]), has),
-        number_field("video.bitDepth", depth, has & (depth > 0)), number_field("video.fps", rate, has & (rate > 0)),
+        text_field("video.codec", v["codec_name"], has), number_field("video.width", v["width"], has & sized),
+        number_field("video.height", v["height"], has & sized), text_field("video.hdr", F.col("_hdr"), has),
+        number_field("video.bitDepth", F.col("_depth"), has & (F.col("_depth") > 0)),
+        number_field("video.fps", F.col("_fps"), has & (F.col("_fps") > 0)),
     )
-    others = F.flatten(F.transform(
-        F.filter("streams", lambda s: s["codec_type"].isin("audio", "subtitle")),
-        lambda s: F.when(
-            s["codec_type"] == "audio",
-            F.array(text_field("video.audioCodec", s["codec_name"]),
-                    number_field("video.audioChannels", s["channels"], (s["channels"] > 0) & (s["channels"] <= 64)),
-                    text_field("video.audioLang", _language(s))),
-        ).otherwise(F.array(text_field("video.subtitleLang", _language(s)))),
-    ))
+    others = F.flatten(F.transform("_tracks", lambda t: F.when(
+        t["audio"], F.array(
+            text_field("video.audioCodec", t["codec"]),
+            number_field("video.audioChannels", t["channels"], (t["channels"] > 0) & (t["channels"] <= 64)), text_field("video.audioLang", t["lang"])),
+    ).otherwise(F.array(text_field("video.subtitleLang", t["lang"])))))
     found = F.filter(F.concat(picture, others), lambda f: f.isNotNull() & (F.coalesce(f["value"], F.lit("")) != ""))
-    ext = paths.file_ext(paths.base_name("path"))
-    all_fields = F.concat(found, F.array(*_container_fields(p, ext, "video")))
-    return to_rows(prepared.where(p.isNotNull()), F.when(F.size(found) > 0, all_fields).otherwise(F.array().cast(f"array<{FIELD}>")))
+    all_fields = F.concat("_found", F.array(*_container_fields("video")))
+    none = F.array().cast(f"array<{FIELD}>")
+    return to_rows(facts.withColumn("_found", found), F.when(F.size("_found") > 0, all_fields).otherwise(none))
 
 
 def audio_fields(probes: DataFrame, tags: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
@@ -143,7 +156,9 @@ def audio_fields(probes: DataFrame, tags: DataFrame, candidates: DataFrame | Non
     own = [text_field(keys[c], t[c], tagged) for c in text_tags]
     own.append(number_field("audio.year", t["year"], tagged & (t["year"] > 0) & (t["year"] < 3000)))
     own.append(number_field("audio.track", t["track"], tagged & (t["track"] > 0) & (t["track"] < 10000)))
-    rate = probe.positive_int(a["sample_rate"])
+    ext = paths.file_ext(paths.base_name("path"))
+    both = both.withColumns({"_sample": probe.positive_int(a["sample_rate"]), **_container_columns(p, ext)})
+    rate = F.col("_sample")
     stream = [
         text_field("audio.codec", a["codec_name"]), number_field("audio.sampleRate", rate, (rate > 0) & (rate <= 1_000_000)),
         number_field("audio.channels", a["channels"], (a["channels"] > 0) & (a["channels"] <= 64)),
@@ -154,8 +169,7 @@ def audio_fields(probes: DataFrame, tags: DataFrame, candidates: DataFrame | Non
     names = {"artist": ("artist",), "album_artist": ("album_artist", "albumartist"), "album": ("album",), "title": ("title",), "genre": ("genre",)}
     from_format = [text_field(keys[c], probe.tag_value(ft, *n), loose) for c, n in names.items()]
     from_format += [number_field("audio.year", year, loose & (year > 0)), number_field("audio.track", track, loose & (track > 0) & (track < 10000))]
-    ext = paths.file_ext(paths.base_name("path"))
-    fields = F.filter(F.array(*own, *stream, *_container_fields(p, ext, "audio"), *from_format),
+    fields = F.filter(F.array(*own, *stream, *_container_fields("audio"), *from_format),
                       lambda f: f.isNotNull() & (F.coalesce(f["value"], F.lit("")) != ""))
     implied = F.array(text_field("audio.codec", paths.lookup(fixed.CODEC_BY_EXT, ext)))
     return to_rows(both.withColumn("_f", fields), F.when((F.size("_f") == 0) & ~tagged, implied).otherwise(F.col("_f")))

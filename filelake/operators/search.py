@@ -73,8 +73,9 @@ def expand_terms(parts: DataFrame, vocab: DataFrame) -> DataFrame:
     prefixes = tokens.where(is_prefix)
     lengths = prefixes.agg(F.collect_set(F.length("token"))).scalar()
     heads = vocab.select(
-        "corpus", "term", F.explode(F.array_intersect(F.sequence(F.lit(1), F.length("term")), lengths)).alias("n")
+        "corpus", "term", F.explode_outer(F.array_intersect(F.sequence(F.lit(1), F.length("term")), lengths)).alias("n")
     ).select("corpus", "term", F.substring("term", F.lit(1), F.col("n")).alias("token"))
+    # Outer explodes throughout: the plain form would put the array into a filter of its own as well.
     begun = prefixes.join(heads, ["corpus", "token"]).select("corpus", "part_key", "k", "idx", "term")
     return exact.unionByName(begun)
 
@@ -205,7 +206,7 @@ def _substring_rows(requests: DataFrame, tables: SearchTables) -> DataFrame:
     grams = F.array_distinct(
         F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
     )
-    pieces = tables.files.select("path", low.alias("low"), F.explode(grams).alias("gram"))
+    pieces = tables.files.select("path", low.alias("low"), F.explode_outer(grams).alias("gram"))
     found = (
         pieces.join(keyed, "gram").where(F.forall("terms", lambda t: F.col("low").contains(t)))
         .select("request_id", "path", F.lit(fixed.SUBSTRING_SCORE).alias("score"), F.lit("name").alias("matched_in"),
@@ -233,7 +234,7 @@ def _plain_rows(requests: DataFrame, tables: SearchTables) -> DataFrame:
         F.explode(F.when(no_ext, F.array(any_ext)).otherwise(F.array_distinct(exts))).alias("ext_key"),
     )
     spread = (
-        tables.files.select(*ENTRY_COLUMNS, F.explode(paths.ancestors("dir")).alias("scope"))
+        tables.files.select(*ENTRY_COLUMNS, F.explode_outer(paths.ancestors("dir")).alias("scope"))
         .select("*", F.explode(F.array(any_ext, F.col("ext"))).alias("ext_key"))
     )
     return (

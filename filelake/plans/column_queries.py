@@ -296,7 +296,7 @@ def tokenize_names(spark, sf_dir):
     SELECT doc_id, token, count(*) AS n FROM t GROUP BY doc_id, token"""
 )
 def tokenize_body(spark, sf_dir):
-    t = views.table(spark, sf_dir, "documents").select("doc_id", F.explode(text.tokenize_body("text")).alias("token"))
+    t = views.table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(text.tokenize_body("text")).alias("token")).where("token IS NOT NULL")
     return t.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 

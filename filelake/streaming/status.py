@@ -38,20 +38,19 @@ _TRANSITION = T.StructType([
 
 def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """State changes of one index; the last state is all that is kept between batches."""
-    rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-    before = rows["state"].shift()
-    if state.exists:
-        before = before.where(before.index != before.index[0], state.get[0]) if len(rows) else before
-        before.iloc[0] = state.get[0]
+    rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], ignore_index=True)
+    before = rows["state"].shift(1)
+    before.iloc[0] = state.get[0] if state.exists else None
     state.update((rows["state"].iloc[-1],))
-    changed = rows[(rows["state"] != before)].assign(previous=before)
-    yield changed[["index_id", "ts", "seq", "state", "previous"]]
+    rows["previous"] = before
+    yield rows.loc[rows["state"] != before, ["index_id", "ts", "seq", "state", "previous"]]
 
 
 def status_transitions(status: DataFrame) -> DataFrame:
     """Every change of state at once, without waiting for the second to end (streams only).
 
-    Work per group and batch is the rows of one index in that batch.
+    A group in one batch is the rows of one index the source admitted to it (``maxFilesPerTrigger``), so the
+    admission limit bounds what a busy index brings to one task; the table form below has no such group at all.
     """
     return (
         status.select("index_id", "ts", "seq", "state").groupBy("index_id")
