@@ -127,4 +127,4 @@ def refresh_postings(old: DataFrame, changed: DataFrame, files: DataFrame, conte
     fresh = name_postings(files.join(keys, "path", "left_semi")).unionByName(
         body_postings(content.join(keys, "path", "left_semi"))
     )
-    return old.join(keys, "path", "left_anti").unionByName(fresh)
+    return old.join(keys, "path", "left_anti").select(*old.columns).unionByName(fresh)
