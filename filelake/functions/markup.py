@@ -23,11 +23,12 @@ def _decode_entities(text: Column) -> Column:
         hexa = F.when(name.rlike("^#[xX]"), F.conv(F.substr(name, F.lit(3)), 16, 10).try_cast("int"))
         code = F.coalesce(decimal, hexa)
         bytes4 = F.unhex(F.lpad(F.hex(code), 8, "0"))
-        char = F.when((code > 0) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(bytes4, "UTF-32"))
+        char = F.when((code > 0) & ~code.isin(2, 3) & (code <= 0x10FFFF) & ~code.between(0xD800, 0xDFFF), F.decode(bytes4, "UTF-32"))
         named = F.coalesce(*[F.when(F.lower(name) == k, F.lit(v)) for k, v in fixed.NAMED_ENTITIES.items()])
         return F.coalesce(char, named, whole)
 
-    glued = F.transform(between, lambda piece, i: F.concat(piece, F.coalesce(decoded(F.get(found, i)), F.lit(""))))
+    # Pieces and entities are walked side by side, so both arrays are made once.
+    glued = F.zip_with(between, found, lambda piece, name: F.concat(piece, F.when(name.isNotNull(), decoded(name)).otherwise(F.lit(""))))
     return F.array_join(glued, "")
 
 
@@ -41,7 +42,8 @@ def _escape(text: Column) -> Column:
 def strip_markup(html: Column | str, max_chars: int | None = None) -> Column:
     """Text of HTML with all tags removed but mark tags, entities decoded once and escaped again.
 
-    Opening and closing marks travel as two control characters through decoding; self-closing marks vanish. A
+    Opening and closing marks travel as two control characters through decoding, which never yields those two;
+    self-closing marks vanish. A
     closing mark with nothing open is dropped and an open one is closed at the end. The whole text is read unless
     ``max_chars`` (65 536 for a result page's snippets) says otherwise.
     """
@@ -49,8 +51,7 @@ def strip_markup(html: Column | str, max_chars: int | None = None) -> Column:
     source = F.regexp_replace(source, "[\x02\x03]", "")
     source = F.regexp_replace(source, r"(?i)<mark\s*>", "\x02")
     source = F.regexp_replace(source, r"(?i)</mark\s*>", "\x03")
-    pieces = F.split(F.regexp_replace(source, _TAG, ""), "(?<=[\x02\x03])|(?=[\x02\x03])")
-    safe = F.transform(pieces, lambda p: F.when(p.isin("\x02", "\x03"), p).otherwise(_escape(_decode_entities(p))))
+    text = _escape(_decode_entities(F.regexp_replace(source, _TAG, "")))
     start = F.struct(F.lit(0).alias("open"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:
@@ -59,5 +60,5 @@ def strip_markup(html: Column | str, max_chars: int | None = None) -> Column:
         shown = F.when(opens, F.lit("<mark>")).when(closes, F.lit("</mark>")).when(p == "\x03", F.lit("")).otherwise(p)
         return F.struct(depth.alias("open"), F.concat(acc["out"], F.array(shown)).alias("out"))
 
-    marked = F.aggregate(safe, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.repeat(F.lit("</mark>"), acc["open"])))
-    return F.when(F.size(pieces) > 1, marked).otherwise(F.array_join(safe, ""))
+    pieces = F.split(text, "(?<=[\x02\x03])|(?=[\x02\x03])")
+    return F.aggregate(pieces, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.repeat(F.lit("</mark>"), acc["open"])))

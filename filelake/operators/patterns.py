@@ -18,8 +18,11 @@ def scan_patterns(df: DataFrame, id_col: str, text_col: str, patterns: Sequence[
     A text is tested once as a whole against all patterns together; only texts with a match are cut into lines.
     """
     together = "(?i)" + "|".join(f"(?:{p})" for _, p in patterns)
-    suspects = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(together))
-    lines = suspects.select("id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.col("line").rlike(together))
+    cut = F.when(F.col("text").rlike(together), F.split("text", "\n"))
+    lines = (
+        df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).select("id", F.posexplode_outer(cut).alias("pos", "line"))
+        .where(F.col("line").rlike(together))
+    )
     checks = F.array(*[
         F.struct(F.lit(name).alias("pattern"), F.regexp_extract_all("line", F.lit(f"(?i)({p})"), F.lit(1)).alias("matches"))
         for name, p in patterns
