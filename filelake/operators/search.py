@@ -137,8 +137,11 @@ def bm25(matches: DataFrame, corpus_stats: DataFrame) -> DataFrame:
 
 
 def part_hits(parts: DataFrame, index: TextIndex) -> DataFrame:
-    """Files that hold every part of a request, with the summed score: ``request_id, corpus, path, score``."""
-    scored = bm25(match_parts(parts, index), index.corpus_stats)
+    """Files that hold every part of a request, with the summed score: ``request_id, corpus, path, score``.
+
+    The matches are staged, since counting them per part and scoring them both need them.
+    """
+    scored = bm25(staged(match_parts(parts, index), "matches"), index.corpus_stats)
     return (
         parts.select("request_id", "corpus", "part_key", "n_parts")
         .join(scored.select("corpus", "part_key", "path", "score"), ["corpus", "part_key"])
