@@ -15,7 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
-    "spark.sql.sources.useV1SourceList": "avro,csv,json,kafka,orc,parquet,text",
 }
 
 
@@ -35,6 +34,9 @@ def local_session(cpus: int | str = "*", partitions: int = 8, app: str = "filela
     return spark
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediates: the cluster's ``spark.checkpoint.dir``, else a new local one.
 
@@ -43,9 +45,10 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    path = tempfile.mkdtemp(prefix="filelake-", dir="/tmp")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="filelake-", dir="/tmp")
+    return _LOCAL_DIRS[app]
 
 
 _PREPARED: set[str] = set()

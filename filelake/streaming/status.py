@@ -43,7 +43,9 @@ def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
     before.iloc[0] = state.get[0] if state.exists else None
     state.update((rows["state"].iloc[-1],))
     rows["previous"] = before
-    yield rows.loc[rows["state"] != before, ["index_id", "ts", "seq", "state", "previous"]]
+    changed = rows.loc[rows["state"] != before, ["index_id", "ts", "seq", "state", "previous"]]
+    if len(changed):
+        yield changed
 
 
 def status_transitions(status: DataFrame) -> DataFrame:
@@ -102,7 +104,8 @@ def stall_alerts(status: DataFrame, gap_seconds: float = 15.0, watermark: str =
                 state.setTimeoutTimestamp(deadline)
             elif not told:
                 state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
-        yield pd.DataFrame(alerts, columns=_ALERT.names)
+        if alerts:
+            yield pd.DataFrame(alerts, columns=_ALERT.names)
 
     kept = T.StructType([T.StructField("micros", T.LongType()), T.StructField("told", T.BooleanType())])
     return (
