@@ -12,8 +12,15 @@ from pyspark.sql import functions as F
 from filelake.session import prepare, shared_dir
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ready(spark: SparkSession) -> None:
+    """Python workers get this package, and few enough rows at a time that long texts fit beside one another."""
     prepare(spark)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ready(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from filelake.llm import wordhash
 
 LONGEST_CACHED = 64  # bytes; longer chunks are encoded each time
-MOST_CACHED = 1_500_000  # chunks; a full cache starts anew
+MOST_CACHED = 1_000_000  # chunks; a full cache starts anew
 
 
 def default_tokenizer() -> str:
@@ -82,19 +82,21 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[int, int] = {}
+        self.keys = np.empty(0, np.uint64)  # ascending, with the number of each chunk beside it
+        self.numbers = np.empty(0, np.int64)
+        self.count = 0
         self.pool = np.empty(1 << 16, np.uint32)
         self.used = 0
         self.starts = np.empty(1 << 16, np.int64)
         self.lengths = np.empty(1 << 16, np.int64)
 
-    def _add(self, keys: list[int | None], chunks: list[str]) -> np.ndarray:
-        """Encode the chunks; their numbers in the pool. A key of None is used once."""
+    def _add(self, chunks: list[str]) -> np.ndarray:
+        """Encode the chunks; their numbers in the pool."""
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         ids = [e.ids for e in encode(chunks, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.array(list(itertools.chain.from_iterable(ids)), np.uint32)
-        first, count = len(self.known), len(chunks)
+        first, count = self.count, len(chunks)
         if self.used + len(flat) > len(self.pool):
             self.pool = np.resize(self.pool, 2 * (self.used + len(flat)))
         if first + count > len(self.starts):
@@ -103,7 +105,7 @@ class Encoder:
         self.starts[first : first + count] = self.used + np.cumsum(lengths) - lengths
         self.lengths[first : first + count] = lengths
         self.used += len(flat)
-        self.known.update(zip(keys, range(first, first + count), strict=True))
+        self.count += count
         return np.arange(first, first + count)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +113,7 @@ class Encoder:
         data, offsets = wordhash.string_bytes(texts)
         if len(data) == 0:
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(self.known) > MOST_CACHED:
+        if self.count > MOST_CACHED:
             self._clear()
         starts = cut_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
@@ -123,20 +125,25 @@ class Encoder:
         keys[long] = long.astype(np.uint64)  # told apart below by their place
         short = np.flatnonzero(ends - starts <= LONGEST_CACHED)
         unique, at, inverse = np.unique(keys[short], return_index=True, return_inverse=True)
-        numbers = np.array([self.known.get(k, -1) for k in unique.tolist()], np.int64)
-        new = np.flatnonzero(numbers < 0)
+        place = np.searchsorted(self.keys, unique)
+        known = place < len(self.keys)
+        known[known] = self.keys[place[known]] == unique[known]
+        numbers = np.empty(len(unique), np.int64)
+        numbers[known] = self.numbers[place[known]]
+        new = np.flatnonzero(~known)
         raw = data.tobytes()
 
         def chunks(which: np.ndarray) -> list[str]:
             return [raw[a:b].decode() for a, b in zip(starts[which].tolist(), ends[which].tolist(), strict=True)]
 
         if len(new):
-            numbers[new] = self._add(unique[new].tolist(), chunks(short[at[new]]))
+            numbers[new] = self._add(chunks(short[at[new]]))
+            self.keys = np.insert(self.keys, place[new], unique[new])
+            self.numbers = np.insert(self.numbers, place[new], numbers[new])
         chunk = np.empty(len(starts), np.int64)
         chunk[short] = numbers[inverse]
         if len(long):
-            base = len(self.known)
-            chunk[long] = self._add([("long", base + k) for k in range(len(long))], chunks(long))
+            chunk[long] = self._add(chunks(long))
         lengths = self.lengths[chunk]
         ids = self.pool[ragged(self.starts[chunk], lengths)]
         ends_of = np.concatenate([[0], np.cumsum(lengths)])

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from filelake.llm import common, packing, token_files
+from filelake.llm import common, edits, licenses, packing, quality, token_files, url_list
 from filelake.llm.encoding import default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,6 +19,22 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return fn
 
 
+# Host and path rules of op6, in the order given.
+RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"),
+         ("com/de/", "block")]
+
+
+@register
+def op1_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edits.against_edits(common.documents(spark, sf_dir))
+
+
+@register
+def op2_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    return quality.judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @register
 def op3_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "tokens")
@@ -25,6 +42,47 @@ def op3_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_index(spark, path)
 
 
+@register
+def op6_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list: every page of a host that has a label beginning with ``spam``."""
+    common.ready(spark)
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    spam = pages.where(url_list.host_of(F.col("url")).rlike(r"(^|\.)spam"))
+    return url_list.judge(pages, spam.select(url_list.canonical(F.col("url")).alias("key")), RULES)
+
+
+ORACLES["op6_url_bloom"] = r"""
+WITH p AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), q AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), c AS (
+  SELECT *, CASE WHEN host = '' THEN '' ELSE regexp_replace(host, '^www\.', '') || regexp_replace(path, '(/+|\.html)$', '') END AS canonical
+  FROM q
+), listed AS (
+  SELECT DISTINCT canonical FROM c WHERE canonical <> '' AND regexp_matches(host, '(^|\.)spam')
+), r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM c
+)
+SELECT page_id, host, path, rule, CASE
+  WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN canonical IN (SELECT canonical FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM r
+"""
+
+
 @register
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), default_tokenizer())
+
+
+@register
+def op9_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(common.documents(spark, sf_dir))

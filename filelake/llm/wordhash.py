@@ -25,7 +25,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i for i < n, kept for the next batch."""
     if "up" not in _powers or len(_powers["up"]) < n:
-        n = max(n, 1 << 22)
+        n = max(n, 1 << 21)
         for key, base in (("up", BASE), ("down", _INVERSE)):
             table = np.full(n, base, dtype=np.uint64)
             table[0] = 1
@@ -42,7 +42,7 @@ def string_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(texts: pa.Array, most_bytes: int = 4 << 20):
+def slices(texts: pa.Array, most_bytes: int = 2 << 20):
     """Consecutive (start, part) slices of about most_bytes; a longer text stands alone."""
     texts = texts.cast(pa.large_string()).fill_null("")
     ends = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
