@@ -6,6 +6,7 @@ import functools
 import operator
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,5 +70,18 @@ def part_starts(totals: DataFrame, part: str, total: str) -> DataFrame:
     return totals.sparkSession.createDataFrame(out, f"{part} int, start_ long")
 
 
+def bitmap(df: DataFrame, bit: str, size: int) -> bytes:
+    """A bitmap of ``size`` bits with the bits in the long column ``bit`` set; size / 8 bytes whatever the rows."""
+    words = df.groupBy(F.expr(f"{bit} div 64").alias("word")).agg(
+        F.bit_or(F.expr(f"shiftleft(1L, cast({bit} % 64 as int))")).alias("bits")).toPandas()
+    table = np.zeros(size // 64, "<i8")
+    table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    return table.tobytes()
+
+
+def has_bit(bits: bytes, at: np.ndarray) -> np.ndarray:
+    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
 def any_of(conditions: list[Column]) -> Column:
     return functools.reduce(operator.or_, conditions, F.lit(False))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelake.llm import wordhash
+from filelake.llm import common, wordhash
 
 BUCKETS = 1 << 24
 REPEATS = 48
@@ -50,9 +50,7 @@ class Lexicon:
     bits: bytes
 
     def member(self, hashes: np.ndarray) -> np.ndarray:
-        bucket = _bucket(hashes)
-        table = np.frombuffer(self.bits, np.uint8)
-        return (table[bucket >> 3] >> (bucket & 7).astype(np.uint8)) & 1 == 1
+        return common.has_bit(self.bits, _bucket(hashes))
 
 
 def build_lexicon(docs: DataFrame, low: float = 0.2, high: float = 0.95) -> Lexicon:
@@ -61,13 +59,7 @@ def build_lexicon(docs: DataFrame, low: float = 0.2, high: float = 0.95) -> Lexi
     scale = math.log(n) if n > 1 else 1.0
     counts = docs.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("df"))
     share = F.log(F.lit(float(max(n, 1))) / F.col("df")) / scale
-    words = (counts.where(share.between(low, high))
-             .groupBy(F.expr("bucket div 64").alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bucket % 64 as int))")).alias("bits")))
-    found = words.toPandas()  # at most BUCKETS / 64 rows
-    table = np.zeros(BUCKETS // 64, "<i8")
-    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
-    return Lexicon(table.tobytes())
+    return Lexicon(common.bitmap(counts.where(share.between(low, high)), "bucket", BUCKETS))
 
 
 def _level(n: np.ndarray) -> np.ndarray:

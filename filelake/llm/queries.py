@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelake.llm import common, edits, licenses, packing, quality, token_files, url_list
+from filelake.llm import common, edits, jaccard, licenses, packing, quality, token_files, url_list
 from filelake.llm.encoding import default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op9_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(common.documents(spark, sf_dir))
+
+
+@register
+def op10_jaccard_divideskip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(common.documents(spark, sf_dir))
