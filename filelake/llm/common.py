@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import operator
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +71,11 @@ def part_starts(totals: DataFrame, part: str, total: str) -> DataFrame:
     return totals.sparkSession.createDataFrame(out, f"{part} int, start_ long")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def bitmap(df: DataFrame, bit: str, size: int) -> bytes:
     """A bitmap of ``size`` bits with the bits in the long column ``bit`` set; size / 8 bytes whatever the rows."""
     words = df.groupBy(F.expr(f"{bit} div 64").alias("word")).agg(

@@ -52,16 +52,25 @@ def repeated_words(hashes: Column) -> Column:
     Windows are told apart by 64-bit hashes. Texts without repeats are settled by counting distinct windows; otherwise
     windows are sorted with their places, those with an equal neighbour taken, and their extents joined.
     """
-    last = F.size(hashes) - 4
-    windows = F.transform(F.sequence(F.lit(1), last), lambda i: F.struct(
-        F.xxhash64(*[F.element_at(hashes, i + k) for k in range(5)]).alias("h"), i.alias("i")))
-    ordered = F.sort_array(windows)
-    repeated = F.filter(ordered, lambda w, k: ((k > 0) & (F.get(ordered, k - 1)["h"] == w["h"]))
-                        | F.coalesce(F.get(ordered, k + 1)["h"] == w["h"], F.lit(False)))
-    starts = F.sort_array(F.transform(repeated, lambda w: w["i"]))
-    covered = F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-9).alias("at")), lambda a, s: F.struct(
-        (a["n"] + F.least(F.lit(5), s - a["at"])).alias("n"), s.alias("at")), lambda a: a["n"])
-    return F.when(F.size(hashes) < 6, F.lit(0)).otherwise(covered)
+    def windows(h: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.size(h) - 4), lambda i: F.struct(
+            F.xxhash64(*[F.get(h, i + k) for k in range(-1, 4)]).alias("h"), i.alias("i")))
+
+    def repeated(ordered: Column) -> Column:
+        found = F.filter(ordered, lambda w, k: ((k > 0) & (F.get(ordered, k - 1)["h"] == w["h"]))
+                         | F.coalesce(F.get(ordered, k + 1)["h"] == w["h"], F.lit(False)))
+        return F.sort_array(F.transform(found, lambda w: w["i"]))
+
+    def covered(ws: Column) -> Column:
+        starts = common.let(F.sort_array(ws), repeated)
+        return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-9).alias("at")), lambda a, s: F.struct(
+            (a["n"] + F.least(F.lit(5), s - a["at"])).alias("n"), s.alias("at")), lambda a: a["n"])
+
+    def count(ws: Column) -> Column:
+        distinct = F.size(F.array_distinct(F.transform(ws, lambda w: w["h"])))
+        return F.when(distinct == F.size(ws), F.lit(0)).otherwise(covered(ws))
+
+    return F.when(F.size(hashes) < 6, F.lit(0)).otherwise(common.let(windows(hashes), count))
 
 
 def statistics(docs: DataFrame) -> DataFrame:
@@ -137,11 +146,15 @@ def _gain(before: tuple[float, float], after: tuple[float, float]) -> float:
     return p * (math.log2((p + 1e-9) / (p + n + 1e-9)) - math.log2((p0 + 1e-9) / (p0 + n0 + 1e-9))) if p else 0.0
 
 
+def _bin(feature: str, cuts: list[float]) -> Column:
+    """How many of the thresholds lie below the value."""
+    return F.size(F.filter(F.lit(cuts), lambda t: t < F.col(feature)))
+
+
 def _histogram(rows: DataFrame, cuts: dict[str, list[float]]) -> dict[str, dict[int, tuple[int, int]]]:
     """feature -> bin -> (rejected, accepted) in one aggregation."""
     bins = F.array(*[
-        F.struct(F.lit(f).alias("f"), F.size(F.filter(F.lit(c), lambda t, f=f: t < F.col(f))).alias("b"))
-        for f, c in cuts.items()])
+        F.struct(F.lit(f).alias("f"), _bin(f, c).alias("b")) for f, c in cuts.items()])
     found = (rows.select("bad", F.explode(bins).alias("x")).groupBy("x.f", "x.b")
              .agg(F.sum("bad").alias("p"), F.sum(1 - F.col("bad")).alias("n")).collect())
     out: dict[str, dict[int, tuple[int, int]]] = {f: {} for f in cuts}
