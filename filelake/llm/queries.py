@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelake.llm import common, edits, jaccard, licenses, packing, quality, token_files, url_list
+from filelake.llm import common, edits, jaccard, licenses, packing, personal_data, quality, token_files, url_list
 from filelake.llm.encoding import default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,11 @@ def op3_simple8b_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_index(spark, path)
 
 
+@register
+def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.find(common.documents(spark, sf_dir))
+
+
 @register
 def op6_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: every page of a host that has a label beginning with ``spam``."""
