@@ -70,17 +70,19 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-class Encoder:
-    """Encodes with ``add_special_tokens=False``; the names of special tokens in a text are ordinary text."""
+class ChunkEncoder:
+    """Encodes texts chunk by chunk, with a cache. A kind of tokens gives ``cuts`` and ``encode_chunks``."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+    def __init__(self) -> None:
         self._clear()
 
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where chunks start, for texts laid end to end."""
+        raise NotImplementedError
+
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        raise NotImplementedError
+
     def _clear(self) -> None:
         self.keys = np.empty(0, np.uint64)  # ascending, with the number of each chunk beside it
         self.numbers = np.empty(0, np.int64)
@@ -92,8 +94,7 @@ class Encoder:
 
     def _add(self, chunks: list[str]) -> np.ndarray:
         """Encode the chunks; their numbers in the pool."""
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = [e.ids for e in encode(chunks, add_special_tokens=False)]
+        ids = self.encode_chunks(chunks)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.array(list(itertools.chain.from_iterable(ids)), np.uint32)
         first, count = self.count, len(chunks)
@@ -115,7 +116,7 @@ class Encoder:
             return np.empty(0, np.uint32), np.zeros(len(offsets), np.int64)
         if self.count > MOST_CACHED:
             self._clear()
-        starts = cut_starts(data, offsets)
+        starts = self.cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
         up, down = wordhash._power_table(len(data) + 1)
         sums = np.zeros(len(data) + 1, np.uint64)
@@ -150,11 +151,30 @@ class Encoder:
         return ids, ends_of[np.searchsorted(starts, offsets)]
 
 
-_encoders: dict[str, Encoder] = {}
+class Encoder(ChunkEncoder):
+    """Byte-level BPE with ``add_special_tokens=False``; the names of special tokens in a text are ordinary text."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        super().__init__()
+
+    def cuts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return cut_starts(data, offsets)
+
+    def encode_chunks(self, chunks: list[str]) -> list[list[int]]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in encode(chunks, add_special_tokens=False)]
+
+
+_encoders: dict[tuple[type, str], ChunkEncoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, kind: type[ChunkEncoder] = Encoder) -> ChunkEncoder:
     """One per Python worker, so its cache serves all tasks that run there."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (kind, path) not in _encoders:
+        _encoders[kind, path] = kind(path)
+    return _encoders[kind, path]

@@ -17,6 +17,7 @@ the list is empty and everything is kept; extra columns are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,7 +40,7 @@ FEWEST = 3  # rejected documents that a rule must cover there
 def words_of(text: Column) -> Column:
     """The words of a text, in order."""
     trimmed = F.btrim(text, F.lit(SPACE))
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\t-\\r]+"))
+    return common.let(trimmed, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, "[ \\t-\\r]+")))
 
 
 def _without(text: Column, signs: str) -> Column:
@@ -73,50 +74,56 @@ def repeated_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) < 6, F.lit(0)).otherwise(common.let(windows(hashes), count))
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, the base counts, and the ratios that rules may use. Narrow: no shuffle."""
-    text = F.col("text_")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text_"))
-    rows = rows.withColumn("words_", words_of(text))
+def describe(text: Column) -> Column:
+    """The base counts and the ratios that rules may use, as one struct."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    rows = rows.select(
-        "doc_id",
-        F.size("words_").cast("long").alias("n_words"),
-        (F.length(text) - F.length(F.translate(text, SPACE, ""))).alias("n_space_"),
-        F.length(text).alias("n_chars_"),
-        _without(text, SYMBOLS).cast("long").alias("n_symbols"),
-        _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("n_upper_"),
-        _without(text, "!?").alias("n_cries_"),
-        _without(text, "0123456789").alias("n_digits_"),
-        F.size(lines).alias("n_lines_"),
-        (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
-        F.transform("words_", lambda w: F.xxhash64(w)).alias("hashes_"),
-    )
-    rows = rows.withColumn("n_repeat_words", repeated_words(F.col("hashes_")).cast("long"))
-    n, chars = F.greatest("n_words", F.lit(1)), F.greatest("word_chars", F.lit(1))
-    return rows.select(
-        "doc_id", "n_words", (F.col("n_chars_") - F.col("n_space_")).cast("long").alias("word_chars"),
-        "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_", "n_cries_", "n_digits_", "n_lines_",
-        F.size(F.array_distinct("hashes_")).alias("n_distinct_"),
-    ).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        (F.col("word_chars") / n).alias("chars_per_word"),
-        (F.col("n_symbols") / n).alias("symbols_per_word"),
-        (F.col("n_dup_lines") / F.greatest("n_lines_", F.lit(1))).alias("dup_line_share"),
-        (F.col("n_repeat_words") / n).alias("repeat_share"),
-        (F.col("n_upper_") / chars).alias("upper_share"),
-        (F.col("n_cries_") / n).alias("cries_per_word"),
-        (F.col("n_digits_") / chars).alias("digit_share"),
-        (F.col("n_distinct_") / n).alias("distinct_share"),
-    )
+
+    def counts(words: Column) -> Column:
+        return common.let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: common.let(lines, lambda ls: F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"),
+            _without(text, SYMBOLS).cast("long").alias("n_symbols"),
+            (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
+            repeated_words(h).cast("long").alias("n_repeat_words"),
+            F.greatest(F.size(ls), F.lit(1)).alias("lines"),
+            _without(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("upper"),
+            _without(text, "!?").alias("cries"),
+            _without(text, "0123456789").alias("digits"),
+            F.size(F.array_distinct(h)).alias("distinct"),
+        )))
+
+    def ratios(c: Column) -> Column:
+        n, chars = F.greatest(c["n_words"], F.lit(1)), F.greatest(c["word_chars"], F.lit(1))
+        return F.struct(
+            *[c[name].alias(name) for name in BASE],
+            (c["word_chars"] / n).alias("chars_per_word"),
+            (c["n_symbols"] / n).alias("symbols_per_word"),
+            (c["n_dup_lines"] / c["lines"]).alias("dup_line_share"),
+            (c["n_repeat_words"] / n).alias("repeat_share"),
+            (c["upper"] / chars).alias("upper_share"),
+            (c["cries"] / n).alias("cries_per_word"),
+            (c["digits"] / chars).alias("digit_share"),
+            (c["distinct"] / n).alias("distinct_share"),
+        )
+
+    return common.let(words_of(text), lambda ws: common.let(counts(ws), ratios))
+
+
+def statistics(docs: DataFrame) -> DataFrame:
+    """doc_id and the fields of ``describe``. Narrow: no shuffle."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), describe(F.coalesce("text", F.lit(""))).alias("s")).select("doc_id", "s.*")
 
 
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FEATURES = ("chars_per_word", "symbols_per_word", "dup_line_share", "repeat_share", "upper_share", "cries_per_word",
             "digit_share", "distinct_share")
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+Get = Callable[[str], Column]  # a statistic by its name
+
+
+def base_failed(get: Get = F.col) -> Column:
+    return (get("n_words") < 10) | (100 * get("n_repeat_words") > 20 * get("n_words"))
 
 
 @dataclass(frozen=True)
@@ -125,18 +132,18 @@ class Condition:
     above: bool
     threshold: float
 
-    def column(self) -> Column:
-        value = F.col(self.feature)
+    def column(self, get: Get) -> Column:
+        value = get(self.feature)
         return value > self.threshold if self.above else value <= self.threshold
 
 
 Rule = tuple[Condition, ...]
 
 
-def covers(rule: Rule) -> Column:
+def covers(rule: Rule, get: Get = F.col) -> Column:
     out = F.lit(True)
     for c in rule:
-        out = out & c.column()
+        out = out & c.column(get)
     return out
 
 
@@ -229,13 +236,13 @@ def learn(stats: DataFrame, labels: DataFrame) -> list[Rule]:
     return rules
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], get: Get = F.col) -> Column:
     """The decision list as one ordered conditional expression: true keeps."""
     if not rules:
         return F.lit(True)
-    out = F.when(covers(rules[0]), False)
+    out = F.when(covers(rules[0], get), False)
     for rule in rules[1:]:
-        out = out.when(covers(rule), False)
+        out = out.when(covers(rule, get), False)
     return out.otherwise(True)
 
 
@@ -245,3 +252,13 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     keep = verdict(learn(stats, labels))
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                         base_failed().alias("base_failed"), (~base_failed() & keep).alias("kept"))
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that pass the base rules and the list."""
+    rules = learn(common.stage(statistics(docs), "statistics"), labels)
+
+    def good(s: Column) -> Column:
+        return ~base_failed(s.getField) & verdict(rules, s.getField)
+
+    return docs.where(common.let(describe(F.coalesce("text", F.lit(""))), good))

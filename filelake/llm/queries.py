@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filelake.llm import common, edits, jaccard, licenses, packing, personal_data, quality, token_files, url_list
+from filelake.llm import common, edits, jaccard, licenses, packing, personal_data, quality, secret_spans, token_files, transducer, url_list
 from filelake.llm.encoding import default_tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,6 +47,11 @@ def op4_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data.find(common.documents(spark, sf_dir))
 
 
+@register
+def op5_secret_network(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_spans.find(common.documents(spark, sf_dir))
+
+
 @register
 def op6_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The list: every page of a host that has a label beginning with ``spam``."""
@@ -83,6 +88,11 @@ FROM r
 """
 
 
+@register
+def op7_sentencepiece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.round_trip(common.documents(spark, sf_dir), transducer.default_model())
+
+
 @register
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.documents(spark, sf_dir), default_tokenizer())

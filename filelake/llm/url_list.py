@@ -74,13 +74,13 @@ def build_filter(listed: DataFrame) -> np.ndarray:
 
 
 def is_listed(pages: DataFrame, listed: DataFrame, key: str = "canonical", out: str = "listed") -> DataFrame:
-    """``pages`` with a boolean column: whether ``pages[key]`` is among the distinct ``listed.key``.
+    """``pages`` with a boolean column: whether ``pages[key]``, of any type, is among the distinct ``listed.key``.
 
     Pages that the filter turns away are decided there; only the others meet the list in a join by hash, in which a
     URL's pages are spread over ``SALTS`` seats.
     """
     spark = pages.sparkSession
-    listed = listed.where(F.col("key") != "").select("key").distinct()
+    listed = listed.where(F.col("key").isNotNull()).select("key").distinct()
     shared = spark.sparkContext.broadcast(build_filter(listed))
 
     @F.pandas_udf("boolean")
@@ -89,7 +89,7 @@ def is_listed(pages: DataFrame, listed: DataFrame, key: str = "canonical", out:
         block, words = masks(hashes.to_numpy(np.int64).view(np.uint64), len(table))
         return pd.Series(((table[block] & words) == words).all(axis=1))
 
-    seen = pages.withColumn("possible_", possible(F.xxhash64(F.coalesce(key, F.lit("")))))
+    seen = pages.withColumn("possible_", possible(F.xxhash64(key)))
     no = seen.where(~F.col("possible_")).drop("possible_").withColumn(out, F.lit(False))
     maybe = seen.where("possible_").drop("possible_").withColumn("seat_", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
     seats = listed.select(F.col("key").alias("key_"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("seat_"),
@@ -114,5 +114,5 @@ def judge(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]) ->
     found = pages.select("page_id", host_of(url).alias("host"), path_of(url).alias("path"), canonical(url).alias("canonical"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
     by_list = F.when(F.col("listed"), "block").otherwise("allow")
-    return is_listed(found, listed).select(
+    return is_listed(found, listed.where(F.col("key") != "")).select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, by_list).alias("verdict"))
