@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import operator
 import uuid
 from collections.abc import Callable
 
@@ -71,6 +69,14 @@ def part_starts(totals: DataFrame, part: str, total: str) -> DataFrame:
     return totals.sparkSession.createDataFrame(out, f"{part} int, start_ long")
 
 
+def fresh(columns: list[str]) -> str:
+    """A column name that is not taken."""
+    name = "mark"
+    while name in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with the value worked out once, however often the body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -87,7 +93,3 @@ def bitmap(df: DataFrame, bit: str, size: int) -> bytes:
 
 def has_bit(bits: bytes, at: np.ndarray) -> np.ndarray:
     return (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-
-
-def any_of(conditions: list[Column]) -> Column:
-    return functools.reduce(operator.or_, conditions, F.lit(False))

@@ -77,7 +77,7 @@ def is_listed(pages: DataFrame, listed: DataFrame, key: str = "canonical", out:
     """``pages`` with a boolean column: whether ``pages[key]``, of any type, is among the distinct ``listed.key``.
 
     Pages that the filter turns away are decided there; only the others meet the list in a join by hash, in which a
-    URL's pages are spread over ``SALTS`` seats.
+    URL's pages are spread over ``SALTS`` seats. ``out`` must be a new name; no other name can clash.
     """
     spark = pages.sparkSession
     listed = listed.where(F.col("key").isNotNull()).select("key").distinct()
@@ -89,13 +89,13 @@ def is_listed(pages: DataFrame, listed: DataFrame, key: str = "canonical", out:
         block, words = masks(hashes.to_numpy(np.int64).view(np.uint64), len(table))
         return pd.Series(((table[block] & words) == words).all(axis=1))
 
-    seen = pages.withColumn("possible_", possible(F.xxhash64(key)))
-    no = seen.where(~F.col("possible_")).drop("possible_").withColumn(out, F.lit(False))
-    maybe = seen.where("possible_").drop("possible_").withColumn("seat_", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
-    seats = listed.select(F.col("key").alias("key_"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("seat_"),
-                          F.lit(True).alias("found_"))
-    hits = maybe.join(seats, (F.col(key) == F.col("key_")) & (maybe["seat_"] == seats["seat_"]), "left")
-    return no.unionByName(hits.select(*pages.columns, F.coalesce("found_", F.lit(False)).alias(out)))
+    seen = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(key).alias("key"))
+    seen = seen.withColumn("possible", possible(F.xxhash64("key")))
+    no = seen.where(~F.col("possible")).select("row.*", F.lit(False).alias(out))
+    maybe = seen.where("possible").withColumn("seat", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    seats = listed.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("seat"), F.lit(True).alias("found"))
+    hits = maybe.join(seats, ["key", "seat"], "left")
+    return no.unionByName(hits.select("row.*", F.coalesce("found", F.lit(False)).alias(out)))
 
 
 def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
