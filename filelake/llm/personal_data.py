@@ -303,13 +303,8 @@ def find(docs: DataFrame) -> DataFrame:
                         F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"))
 
 
-def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span in ``text`` replaced by the name of its kind, and ``n_chars`` counted anew.
-
-    The text is cut at the borders of its spans in one pass: what a span starts inside of an earlier one is dropped.
-    """
-    weights = learn(docs)
-    text = F.col("text")
+def _masked(text: Column, weights: dict[int, list[float]]) -> Column:
+    """The text cut at the borders of its spans in one pass; what a span starts inside of an earlier one is dropped."""
 
     def by_place(found: Column) -> Column:
         return F.sort_array(F.transform(found, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
@@ -327,7 +322,16 @@ def mask(docs: DataFrame) -> DataFrame:
 
         return common.let(ends, build)
 
-    masked = common.let(spans(candidates(text), weights), lambda s: F.when(F.size(s) == 0, text).otherwise(common.let(by_place(s), cut)))
-    masked = F.when(text.isNull(), text).otherwise(masked)
-    out = docs.withColumn("text", masked)
+    return common.let(spans(candidates(text), weights), lambda s: F.when(F.size(s) == 0, text).otherwise(common.let(by_place(s), cut)))
+
+
+def mask(docs: DataFrame) -> DataFrame:
+    """``docs`` with every span in ``text`` replaced by the name of its kind, and ``n_chars`` counted anew.
+
+    Texts that changed are swept once more: a number that began inside of a masked one may only now be a match.
+    """
+    weights = learn(docs)
+    text = F.col("text")
+    twice = common.let(_masked(text, weights), lambda t: F.when(t == text, t).otherwise(_masked(t, weights)))
+    out = docs.withColumn("text", F.when(text.isNull(), text).otherwise(twice))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
