@@ -75,9 +75,10 @@ def sanitize_body(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), r"[\x00\x02\x03]", "")
 
 
-def extract_text(raw: Column | str, cap: int = fixed.CONTENT_CAP) -> Column:
-    """Body text of raw bytes: NULL when binary, invalid UTF-8 replaced, at most ``cap`` bytes read."""
-    text = F.make_valid_utf8(F.substring(_col(raw), 1, cap).cast("string"))
+def extract_text(raw: Column | str, cap: int | None = None) -> Column:
+    """Body text of raw bytes: NULL when binary, invalid UTF-8 replaced; with ``cap`` only so many bytes are read."""
+    read = _col(raw) if cap is None else F.substring(_col(raw), 1, cap)
+    text = F.make_valid_utf8(read.cast("string"))
     return F.when(~is_binary(raw), sanitize_body(text))
 
 

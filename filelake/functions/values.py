@@ -18,15 +18,17 @@ def printable(value: Column | str) -> Column:
     return F.regexp_replace(v, r"^\s+|\s+$", "")
 
 
-def cut_bytes(text: Column, max_bytes: int = fixed.MAX_VALUE_BYTES) -> Column:
-    """At most ``max_bytes`` of UTF-8, whole characters only, no blanks left at the cut."""
+def cut_bytes(text: Column, max_bytes: int | None = None) -> Column:
+    """At most ``max_bytes`` of UTF-8, whole characters only, no blanks left at the cut; the whole text if unset."""
+    if max_bytes is None:
+        return text
     raw = F.encode(text, "UTF-8")
     return F.when(F.octet_length(text) <= max_bytes, text).otherwise(
         F.regexp_replace(_longest_valid(raw, max_bytes), r"\s+$", ""))
 
 
-def clean_value(value: Column | str, max_bytes: int = fixed.MAX_VALUE_BYTES) -> Column:
-    """A metadata value as stored: printable, trimmed, and cut on a character boundary."""
+def clean_value(value: Column | str, max_bytes: int | None = None) -> Column:
+    """A metadata value as stored: printable, trimmed, and cut on a character boundary where a limit is asked for."""
     return cut_bytes(printable(value), max_bytes)
 
 

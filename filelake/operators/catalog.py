@@ -20,7 +20,7 @@ class ContentRules:
 
     extensions: tuple[str, ...] = ()
     include_paths: tuple[str, ...] = ()
-    max_bytes: int = fixed.CONTENT_CAP
+    max_bytes: int | None = None
 
     def wanted(self) -> list[str]:
         return filters.normal_exts(self.extensions) or list(fixed.CONTENT_EXTENSIONS)
@@ -118,7 +118,7 @@ def diff_snapshots(old: DataFrame, new: DataFrame) -> DataFrame:
 def content_candidates(files: DataFrame, rules: ContentRules = ContentRules(), roots: Iterable[str] = ("/",)) -> DataFrame:
     """Files whose text is to be read: not yet extracted, small enough, listed extension, inside scope."""
     out = files.where(
-        ~F.col("content_indexed") & (F.col("size") <= rules.max_bytes) & F.col("ext").isin(rules.wanted())
+        ~F.col("content_indexed") & (F.lit(True) if rules.max_bytes is None else F.col("size") <= rules.max_bytes) & F.col("ext").isin(rules.wanted())
         & paths.within_any("path", roots)
     )
     if rules.include_paths:

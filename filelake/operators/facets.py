@@ -8,20 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import fixed, paths
+from ..functions import paths
 
 COLUMN_KEYS = {"ext": "ext", "mime": "mimeclass"}
 
 
-def _limit(limit: int) -> int:
-    return fixed.MAX_FACET_VALUES if limit <= 0 or limit > fixed.MAX_FACET_VALUES else limit
-
-
 def facet_values(files: DataFrame, file_meta: DataFrame, key: str, prefix: str = "", scope: str = "",
                  limit: int = 0, roots: Iterable[str] | None = None) -> DataFrame:
     """``(value, count)`` of one key, most frequent first, then by value.
 
-    The prefix ignores case, the grouping does not. Extension and media class come from the catalogue; name,
+    The prefix ignores case, the grouping does not. A ``limit`` above 0 keeps the first so many. Extension and media class come from the catalogue; name,
     size and mtime cannot be enumerated.
     """
     kept = files
@@ -42,11 +38,12 @@ def facet_values(files: DataFrame, file_meta: DataFrame, key: str, prefix: str =
     else:
         raise ValueError(f"values of {key} cannot be enumerated")
     counted = rows.groupBy("value").agg(F.count("*").alias("count"))
-    return counted.orderBy(F.desc("count"), F.asc("value")).limit(_limit(limit))
+    ordered = counted.orderBy(F.desc("count"), F.asc("value"))
+    return ordered.limit(limit) if limit > 0 else ordered
 
 
 def facet_values_all(files: DataFrame, file_meta: DataFrame, limit: int = 0) -> DataFrame:
-    """``(key, value, count)`` of every enumerable key at once, the top values of each.
+    """``(key, value, count)`` of every enumerable key at once; a ``limit`` above 0 keeps the top values of each.
 
     Counting happens before ranking, so a key shared by all files is a few rows by then.
     """
@@ -55,8 +52,10 @@ def facet_values_all(files: DataFrame, file_meta: DataFrame, limit: int = 0) ->
         F.struct(F.lit("mime").alias("key"), F.col("mimeclass").alias("value")))).alias("p")).select("p.*").where("value <> ''")
     embedded = file_meta.join(files.select("path"), "path", "left_semi").select("key", "value")
     counted = stacked.unionByName(embedded).groupBy("key", "value").agg(F.count("*").alias("count"))
+    if limit <= 0:
+        return counted
     rank = F.row_number().over(W.partitionBy("key").orderBy(F.desc("count"), F.asc("value")))
-    return counted.withColumn("_r", rank).where(F.col("_r") <= _limit(limit)).drop("_r")
+    return counted.withColumn("_r", rank).where(F.col("_r") <= limit).drop("_r")
 
 
 def index_fresh(status: DataFrame) -> DataFrame:

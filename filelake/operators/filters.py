@@ -248,11 +248,11 @@ def validate_filters(requests: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def with_limits(requests: DataFrame) -> DataFrame:
-    """Page bounds as they will be used: limit 1..1000 with 100 for unset, offset at least 0."""
+    """Page bounds as they will be used: the limit asked for, 100 for unset, offset at least 0."""
     limit = F.coalesce("limit", F.lit(0))
     return requests.withColumn(
         "limit",
-        F.when(limit <= 0, F.lit(fixed.DEFAULT_LIMIT)).otherwise(F.least(limit, F.lit(fixed.MAX_LIMIT))).cast("long"),
+        F.when(limit <= 0, F.lit(fixed.DEFAULT_LIMIT)).otherwise(limit).cast("long"),
     ).withColumn("offset", F.greatest(F.coalesce("offset", F.lit(0)), F.lit(0)).cast("long"))
 
 

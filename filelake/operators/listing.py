@@ -47,43 +47,37 @@ def sort_listing(entries: DataFrame, sort: str = "name", direction: str = "asc",
     return entries.orderBy(*listing_order(sort, direction, dirs_first))
 
 
-def directory_sizes(files: DataFrame) -> DataFrame:
-    """Number of files per directory, with the ones too large to list marked."""
-    return files.groupBy("dir").agg(F.count("*").alias("entries")).withColumn(
-        "too_large", F.col("entries") > fixed.LISTING_MAX_ENTRIES
-    )
+def directory_sizes(files: DataFrame, max_entries: int = fixed.LISTING_MAX_ENTRIES) -> DataFrame:
+    """Number of files per directory, with those of more than ``max_entries`` marked."""
+    return files.groupBy("dir").agg(F.count("*").alias("entries")).withColumn("too_large", F.col("entries") > max_entries)
 
 
 def list_page(entries: DataFrame, sort: str = "name", direction: str = "asc", dirs_first: bool = True,
-              offset: int = 0, limit: int = fixed.LISTING_LIMIT) -> DataFrame:
-    """One page of a listing with the full count on each row; a directory above the entry limit is refused
+              offset: int = 0, limit: int = fixed.LISTING_LIMIT, max_entries: int | None = None) -> DataFrame:
+    """One page of a listing with the full count on each row; with ``max_entries`` a larger directory is refused
     as a single error row. Past the end the page is empty."""
-    limit = max(min(limit, fixed.LISTING_MAX_LIMIT), 0)
+    limit = max(limit, 0)
     total = entries.agg(F.count("*").alias("total"))
     counted = entries.withColumn("total", total.scalar())
-    kept = counted.where(F.col("total") <= fixed.LISTING_MAX_ENTRIES)
+    kept = counted if max_entries is None else counted.where(F.col("total") <= max_entries)
     page = sort_listing(kept, sort, direction, dirs_first).offset(max(offset, 0)).limit(limit)
-    refused = total.where(F.col("total") > fixed.LISTING_MAX_ENTRIES).select("total", F.lit("TOO_LARGE").alias("error_code"))
-    return page.withColumn("error_code", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
+    page = page.withColumn("error_code", F.lit(None).cast("string"))
+    if max_entries is None:
+        return page
+    refused = total.where(F.col("total") > max_entries).select("total", F.lit("TOO_LARGE").alias("error_code"))
+    return page.unionByName(refused, allowMissingColumns=True)
 
 
 def media_neighbours(files: DataFrame, sort: str = "name", direction: str = "asc") -> DataFrame:
     """Previous and next playable file of the same directory for each playable file.
 
-    Like a listing, a directory above the entry limit is refused: its files come back with ``error_code``
-    TOO_LARGE and no neighbours. The window therefore never holds more rows than the limit.
+    Every directory is answered whole. The window streams over a directory's sorted media rows and spills; it keeps
+    only the row before and the row after.
     """
     entries = files.select(
         "path", "dir", "name", "size", "mtime", paths.mime_by_ext("ext").alias("mime"),
         F.when(paths.is_archive_name("name"), F.lit("archive")).otherwise(F.lit("file")).alias("type"),
     )
-    sized = directory_sizes(files).select("dir", "too_large")
-    media = entries.where((F.col("type") == "file") & paths.media_kind("mime", "name").isNotNull()).join(sized, "dir")
+    media = entries.where((F.col("type") == "file") & paths.media_kind("mime", "name").isNotNull())
     w = W.partitionBy("dir").orderBy(*listing_order(sort, direction, dirs_first=False))
-    listed = media.where(~F.col("too_large")).select(
-        "path", F.lag("path").over(w).alias("prev"), F.lead("path").over(w).alias("next"),
-        F.lit(None).cast("string").alias("error_code"),
-    )
-    none = F.lit(None).cast("string")
-    refused = media.where("too_large").select("path", none.alias("prev"), none.alias("next"), F.lit("TOO_LARGE").alias("error_code"))
-    return listed.unionByName(refused)
+    return media.select("path", F.lag("path").over(w).alias("prev"), F.lead("path").over(w).alias("next"))

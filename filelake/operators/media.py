@@ -162,18 +162,21 @@ def segment_count(duration: Column | str, seg: Column | str) -> Column:
     return F.when((d > 0) & (s > 0), F.greatest(n, F.lit(1))).otherwise(F.lit(0)).cast("long")
 
 
-def segment_schedule(plans: DataFrame) -> DataFrame:
-    """``(path, duration_sec, seg_sec)`` to one row per segment; files beyond the segment limit are refused as one
-    row with ``error_code``."""
+def segment_schedule(plans: DataFrame, max_segments: int | None = None) -> DataFrame:
+    """``(path, duration_sec, seg_sec)`` to one row per segment; with ``max_segments`` a file beyond it is refused as
+    one row with ``error_code``."""
     counted = plans.withColumn("_count", segment_count("duration_sec", "seg_sec"))
-    fine = counted.where((F.col("_count") > 0) & (F.col("_count") <= fixed.MAX_SEGMENTS))
+    over = F.lit(False) if max_segments is None else F.col("_count") > max_segments
+    fine = counted.where((F.col("_count") > 0) & ~over)
     rows = fine.select("path", "duration_sec", "seg_sec", "_count", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("n"))
     start = F.col("n") * F.col("seg_sec")
     out = rows.select(
         "path", "n", start.alias("start"),
         F.when(F.col("n") == F.col("_count") - 1, F.col("duration_sec") - start).otherwise(F.col("seg_sec")).alias("duration"),
         F.lit(None).cast("string").alias("error_code"))
-    refused = counted.where(F.col("_count") > fixed.MAX_SEGMENTS).select("path", F.lit(TOO_LARGE).alias("error_code"))
+    if max_segments is None:
+        return out
+    refused = counted.where(over).select("path", F.lit(TOO_LARGE).alias("error_code"))
     return out.unionByName(refused, allowMissingColumns=True)
 
 
@@ -182,9 +185,8 @@ def boundary_keyframes(plans: DataFrame, keyframes: DataFrame) -> DataFrame:
 
     ``plans(path, seg_sec, segment_count)``. Every keyframe belongs to the first boundary not before it, so a
     grouped maximum per (path, boundary) does the heavy work on the map side; filling the empty boundaries then
-    touches at most one row per segment, and segments per file are limited.
+    touches at most one row per segment.
     """
-    plans = plans.where(F.col("segment_count") <= fixed.MAX_SEGMENTS)
     k = keyframes.join(plans.select("path", "seg_sec", "segment_count"), "path")
     guess = F.ceil(F.col("pts") / F.col("seg_sec"))
     first = F.when((guess - 1) * F.col("seg_sec") >= F.col("pts"), guess - 1).when(guess * F.col("seg_sec") < F.col("pts"), guess + 1).otherwise(guess)
@@ -223,7 +225,7 @@ def segment_cuts(plans: DataFrame, keyframes: DataFrame) -> DataFrame:
     own = ("path", "seg_sec", "segment_count", "start_sec", "copy_video")
     p = plans.select(*own)
     copied = fresh_boundaries(boundary_keyframes(p.where("copy_video"), keyframes))
-    grid = p.where((F.col("segment_count") > 0) & (F.col("segment_count") <= fixed.MAX_SEGMENTS)).select(
+    grid = p.where("segment_count > 0").select(
         *own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("segment_count") - 1)).alias("m"))
     w = W.partitionBy("path").orderBy("m")
     ahead = grid.join(copied, ["path", "m"], "left").withColumns({

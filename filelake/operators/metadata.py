@@ -30,23 +30,28 @@ def number_field(key: str, value: Column, keep: Column) -> Column:
     return F.when(keep, F.struct(F.lit(key).alias("key"), values.format_number(v).alias("value"), v.alias("num")))
 
 
-def normalize_array(fields: Column) -> Column:
+def normalize_array(fields: Column, max_fields: int | None = None, max_bytes: int | None = None) -> Column:
     """Clean-up of one file's fields: no key or no content drops a field, non-finite numbers go, an empty value
-    with a number shows the number, exact repeats keep the first, at most 256 fields."""
+    with a number shows the number, repeats of a key and value keep the first. Limits only where asked for."""
     # Each transform names a value once, so no expression is worked out twice per field.
     present = F.filter(fields, lambda f: f.isNotNull() & (F.coalesce(f["key"], F.lit("")) != ""))
     clean = F.transform(present, lambda f: F.struct(
         f["key"].alias("key"), values.printable(f["value"]).alias("value"), F.when(F.abs(f["num"]) < float("inf"), f["num"]).alias("num")))
     shown = F.transform(clean, lambda f: F.struct(
         f["key"].alias("key"),
-        F.when(F.coalesce(f["value"], F.lit("")) != "", values.cut_bytes(f["value"])).otherwise(values.format_number(f["num"])).alias("value"),
+        F.when(F.coalesce(f["value"], F.lit("")) != "", values.cut_bytes(f["value"], max_bytes)).otherwise(values.format_number(f["num"])).alias("value"),
         f["num"].alias("num")))
-    return F.slice(F.array_distinct(F.filter(shown, lambda f: f["value"].isNotNull())), 1, fixed.MAX_FIELDS_PER_FILE)
+    held = F.filter(shown, lambda f: f["value"].isNotNull())
+    # The array is bound once; a field stays where its key and value stand for the first time.
+    first = F.element_at(F.transform(F.array(held), lambda fs: F.element_at(F.transform(
+        F.array(F.transform(fs, lambda f: F.struct(f["key"].alias("key"), f["value"].alias("value")))),
+        lambda pairs: F.filter(fs, lambda f, i: F.array_position(pairs, F.get(pairs, i)) == i + 1)), 1)), 1)
+    return first if max_fields is None else F.slice(first, 1, max_fields)
 
 
-def to_rows(df: DataFrame, fields: Column) -> DataFrame:
+def to_rows(df: DataFrame, fields: Column, max_fields: int | None = None, max_bytes: int | None = None) -> DataFrame:
     """One row per field of each file. The outer form keeps Catalyst from building the array once more in a filter."""
-    arrays = df.select("path", fields.alias("_fields")).select("path", normalize_array(F.col("_fields")).alias("_fields"))
+    arrays = df.select("path", fields.alias("_fields")).select("path", normalize_array(F.col("_fields"), max_fields, max_bytes).alias("_fields"))
     return arrays.select("path", F.inline_outer("_fields")).where("key IS NOT NULL")
 
 
@@ -55,17 +60,20 @@ def dedupe_fields(rows: DataFrame) -> DataFrame:
     return rows.groupBy("path", "key", "value").agg(F.max("num").alias("num"))
 
 
-def normalize_fields(rows: DataFrame) -> DataFrame:
-    """The same clean-up for rows ``(path, ord, key, value, num)`` that are not one array per file."""
+def normalize_fields(rows: DataFrame, max_fields: int | None = None, max_bytes: int | None = None) -> DataFrame:
+    """The same clean-up for rows ``(path, ord, key, value, num)`` that are not one array per file; repeats stay.
+
+    Without limits nothing is shuffled. With ``max_fields`` the first so many of each file are returned.
+    """
     num = F.when(F.abs("num") < float("inf"), F.col("num"))
-    value = F.coalesce(values.clean_value("value"), F.lit(""))
+    value = F.coalesce(values.clean_value("value", max_bytes), F.lit(""))
     cleaned = rows.where(F.coalesce("key", F.lit("")) != "").select("path", "ord", "key", value.alias("value"), num.alias("num"))
     shown = cleaned.withColumn("value", F.when(F.col("value") != "", F.col("value")).otherwise(values.format_number("num")))
-    rank = F.row_number().over(W.partitionBy("path").orderBy("ord"))
-    return (
-        shown.where("value IS NOT NULL").withColumn("_r", rank).where(F.col("_r") <= fixed.MAX_FIELDS_PER_FILE)
-        .select("path", "key", "value", "num")
-    )
+    shown = shown.where("value IS NOT NULL")
+    if max_fields is not None:
+        rank = F.row_number().over(W.partitionBy("path").orderBy("ord"))
+        shown = shown.withColumn("_r", rank).where(F.col("_r") <= max_fields)
+    return shown.select("path", "key", "value", "num")
 
 
 # --- media -------------------------------------------------------------------------------------------------
@@ -213,14 +221,15 @@ def image_fields(exif: DataFrame) -> DataFrame:
 
 # --- packages ----------------------------------------------------------------------------------------------
 
-def split_depends(text: Column | str) -> Column:
-    """Bare package names of a dependency list: versions, architectures and restrictions cut off, at most 64."""
+def split_depends(text: Column | str, most: int | None = None) -> Column:
+    """Bare package names of a dependency list: versions, architectures and restrictions cut off."""
     t = F.col(text) if isinstance(text, str) else text
     names = F.transform(
         F.split(t, "[,|]"),
         lambda d: F.regexp_replace(F.regexp_replace(F.regexp_replace(d, r"(?s)[(\[<].*$", ""), r"^\s+|\s+$", ""), r"(?s)^([^:]+):.*$", "$1"),
     )
-    return F.slice(F.filter(names, lambda n: n != ""), 1, fixed.MAX_DEPENDS)
+    found = F.filter(names, lambda n: n != "")
+    return found if most is None else F.slice(found, 1, most)
 
 
 def control_field(control: Column, key: str) -> Column:
@@ -261,7 +270,7 @@ def rpm_fields(tag_rows: DataFrame) -> DataFrame:
     wide = tag_rows.groupBy("path").agg(
         *[text_of(n) for n in names],
         F.max(F.when(F.col("tag") == fixed.RPM_TAGS["size"], F.col("number"))).alias("size"),
-        F.max(F.when(F.col("tag") == fixed.RPM_TAGS["requires"], F.slice("strings", 1, fixed.MAX_DEPENDS))).alias("requires"),
+        F.max(F.when(F.col("tag") == fixed.RPM_TAGS["requires"], F.col("strings"))).alias("requires"),
     )
     real = F.filter("requires", lambda d: ~d.startswith("rpmlib(") & ~d.startswith("/"))
     fields = [text_field("package.format", F.lit("rpm"))] + [text_field(f"package.{k}", F.col(n)) for k, n in zip(keys, names)]

@@ -291,7 +291,7 @@ def sort_order(sort: str, direction: str = "asc") -> list[Column]:
 
 def sort_and_page(hits: DataFrame, sort: str, direction: str = "asc", limit: int = 0, offset: int = 0) -> DataFrame:
     """One page of one request: a single take-ordered step, never a full sort."""
-    limit = fixed.DEFAULT_LIMIT if limit <= 0 else min(limit, fixed.MAX_LIMIT)
+    limit = fixed.DEFAULT_LIMIT if limit <= 0 else limit
     offset = max(offset, 0)
     if offset + limit > fixed.MAX_WINDOW:
         raise ValueError(f"offset+limit must not exceed {fixed.MAX_WINDOW}")

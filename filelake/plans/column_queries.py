@@ -169,13 +169,24 @@ def skip_dir(spark, sf_dir):
 @query(
     r"""WITH v AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\t\n\r]', ' ', 'g'), '[\x00-\x1f\x7f]', '', 'g'),
                    ' ') AS t FROM documents)
-    , lens AS (SELECT doc_id, t, (SELECT max(i) FROM range(0, 513) r(i) WHERE strlen(substr(t, 1, i)) <= 512) AS keep FROM v)
-    SELECT doc_id, CASE WHEN strlen(t) <= 512 THEN t ELSE rtrim(substr(t, 1, keep), ' ') END AS value FROM lens"""
+    SELECT doc_id, t AS value FROM v"""
 )
 def clean_value(spark, sf_dir):
+    """Whole texts as values."""
     return views.table(spark, sf_dir, "documents").select("doc_id", values.clean_value("text").alias("value"))
 
 
+@query(
+    r"""WITH v AS (SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\t\n\r]', ' ', 'g'), '[\x00-\x1f\x7f]', '', 'g'),
+                   ' ') AS t FROM documents)
+    , lens AS (SELECT doc_id, t, (SELECT max(i) FROM range(0, 513) r(i) WHERE strlen(substr(t, 1, i)) <= 512) AS keep FROM v)
+    SELECT doc_id, CASE WHEN strlen(t) <= 512 THEN t ELSE rtrim(substr(t, 1, keep), ' ') END AS value FROM lens"""
+)
+def clean_value_limited(spark, sf_dir):
+    """The limit of stored values is the feature here."""
+    return views.table(spark, sf_dir, "documents").select("doc_id", values.clean_value("text", fixed.MAX_VALUE_BYTES).alias("value"))
+
+
 @query(
     """WITH v AS (SELECT o_orderkey, o_totalprice AS x FROM orders UNION ALL SELECT o_orderkey, o_totalprice / 7 FROM orders
                   UNION ALL SELECT o_orderkey, floor(o_totalprice) FROM orders)

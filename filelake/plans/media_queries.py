@@ -211,8 +211,7 @@ def dedupe_fields(spark, sf_dir):
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \\n]')) AS value, generate_subscripts(regexp_split_to_array(text, '[ \\n]'), 1) AS ord FROM documents)
     SELECT CAST(doc_id AS VARCHAR) AS path, 'doc.word' AS key, trim(regexp_replace(value, '[\\x00-\\x1f\\x7f]', '', 'g')) AS value, CAST(NULL AS DOUBLE) AS num FROM w
-    WHERE trim(regexp_replace(value, '[\\x00-\\x1f\\x7f]', '', 'g')) <> ''
-    QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ord) <= 256""")
+    WHERE trim(regexp_replace(value, '[\\x00-\\x1f\\x7f]', '', 'g')) <> ''""")
 def normalize_fields(spark, sf_dir):
     words = views.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "[ \n]")).alias("ord", "value"))

@@ -86,7 +86,7 @@ def scan_files(spark: SparkSession, roots: Iterable[str], skip_names: Iterable[s
     return reduce(DataFrame.unionByName, parts).select(*schema.SCAN.names)
 
 
-def read_bodies(candidates: DataFrame, cap: int = fixed.CONTENT_CAP) -> DataFrame:
+def read_bodies(candidates: DataFrame, cap: int | None = None) -> DataFrame:
     """``(path, bytes)`` with at most ``cap`` bytes of each candidate; files that cannot be read are left out.
 
     Neighbouring paths are read together, and batches are cut by size rather than by number of rows.

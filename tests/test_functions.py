@@ -54,7 +54,8 @@ def test_filters_and_numbers(spark):
 
 def test_clean_value_cuts_whole_characters(spark):
     long = "é" * 300 + "x"
-    got = one(spark, [(" a\tb\x01c\n",), (long,), ("€" * 200,), ("𝄞" * 200,)], "v string", values.clean_value("v"))
+    got = one(spark, [(" a\tb\x01c\n",), (long,), ("€" * 200,), ("𝄞" * 200,)], "v string", values.clean_value("v", 512))
+    assert one(spark, [(long,)], "v string", values.clean_value("v")) == [long]
     assert got[0] == "a bc" and got[1] == "é" * 256 and got[2] == "€" * 170 and got[3] == "𝄞" * 128
 
 
@@ -122,6 +123,7 @@ def test_control_text(spark):
 def test_field_limit(spark):
     rows = spark.range(1000).select(F.concat(F.lit("/f"), (F.col("id") >= 0).cast("string")).alias("path"), F.col("id").alias("ord"), F.lit("a.b").alias("key"), F.lit(None).cast("string").alias("value"),
                                     F.col("id").cast("double").alias("num"))
-    kept = metadata.normalize_fields(rows)
+    assert metadata.normalize_fields(rows).count() == 1000
+    kept = metadata.normalize_fields(rows, max_fields=256)
     assert sorted(int(r["value"]) for r in kept.collect()) == list(range(256))
     assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
