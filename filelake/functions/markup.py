@@ -39,6 +39,14 @@ def _escape(text: Column) -> Column:
     return out
 
 
+def _marks_only(text: Column) -> Column:
+    """Tags taken from left to right: what lies within a tag is no tag of its own. Marks become control characters."""
+    tags = F.regexp_extract_all(text, F.lit(_TAG), F.lit(0))
+    mark = lambda tag: F.when(tag.rlike(r"(?i)^<mark\s*>$"), "\x02").when(tag.rlike(r"(?i)^</mark\s*>$"), "\x03").otherwise("")
+    pieces = F.zip_with(F.split(text, _TAG), tags, lambda piece, tag: F.concat(piece, F.when(tag.isNotNull(), mark(tag)).otherwise("")))
+    return F.array_join(pieces, "")
+
+
 def strip_markup(html: Column | str, max_chars: int | None = None) -> Column:
     """Text of HTML with all tags removed but mark tags, entities decoded once and escaped again.
 
@@ -49,9 +57,7 @@ def strip_markup(html: Column | str, max_chars: int | None = None) -> Column:
     """
     source = _col(html) if max_chars is None else F.substring(_col(html), 1, max_chars)
     source = F.regexp_replace(source, "[\x02\x03]", "")
-    source = F.regexp_replace(source, r"(?i)<mark\s*>", "\x02")
-    source = F.regexp_replace(source, r"(?i)</mark\s*>", "\x03")
-    text = _escape(_decode_entities(F.regexp_replace(source, _TAG, "")))
+    text = _escape(_decode_entities(_marks_only(source)))
     start = F.struct(F.lit(0).alias("open"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, p: Column) -> Column:

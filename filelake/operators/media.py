@@ -93,12 +93,14 @@ def scaled_size(width: Column | str, height: Column | str, max_height: Column |
     return F.struct(even_width(w, h, even_height(m)).alias("width"), even_height(m).alias("height"))
 
 
-def playback_plan(records: DataFrame, devices: DataFrame, requests: DataFrame, sparse: DataFrame | None = None) -> DataFrame:
+def playback_plan(records: DataFrame, devices: DataFrame, requests: DataFrame, sparse: DataFrame | None = None,
+                  max_segments: int | None = None) -> DataFrame:
     """What to do with the chosen streams of each request.
 
     ``requests(request_id, path, device_id, audio_index, max_height)`` meet probe records by path and
     ``devices(device_id, can)`` by id. A stream is copied when the device plays its codec and segments can carry
-    it; a lower height, or keyframes too far apart (``sparse(path, sparse)``), re-encode the video.
+    it; a lower height, or keyframes too far apart (``sparse(path, sparse)``), re-encode the video. With ``max_segments``
+    plans of more segments are refused with an error code.
     """
     asked = requests.join(records, "path").join(devices.select("device_id", known_codecs("can").alias("can")), "device_id", "left")
     if sparse is not None:
@@ -149,8 +151,9 @@ def playback_plan(records: DataFrame, devices: DataFrame, requests: DataFrame, s
         F.when(has_v & ~copy_v, max_rate(F.when(out_h > 0, out_h).otherwise(v["height"]))).otherwise(F.lit(0)).cast("long").alias("max_rate"),
         "duration_sec", "start_sec", seg.alias("seg_sec"), "error_code", ok.alias("_ok"),
     ).withColumn("segment_count", segment_count("duration_sec", "seg_sec"))
-    planned = planned.withColumn(
-        "error_code", F.coalesce("error_code", F.when(F.col("segment_count") > fixed.MAX_SEGMENTS, F.lit(TOO_LARGE))))
+    if max_segments is not None:
+        planned = planned.withColumn(
+            "error_code", F.coalesce("error_code", F.when(F.col("segment_count") > max_segments, F.lit(TOO_LARGE))))
     keep = ("request_id", "path", "error_code")
     return planned.select(*[c if c in keep else F.when(F.col("error_code").isNull(), F.col(c)).alias(c) for c in planned.columns if c != "_ok"])
 
@@ -162,13 +165,21 @@ def segment_count(duration: Column | str, seg: Column | str) -> Column:
     return F.when((d > 0) & (s > 0), F.greatest(n, F.lit(1))).otherwise(F.lit(0)).cast("long")
 
 
+def numbered(rows: DataFrame, count: str, name: str) -> DataFrame:
+    """Each row once per number 0..count-1. Numbers are made in stretches of 4 096, so no array grows with the count."""
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(cast({count} as long) - 1) div 4096"))).alias("_block")
+    blocks = rows.where(F.col(count) > 0).select("*", block)
+    last = F.least(F.col(count).cast("long"), (F.col("_block") + 1) * 4096) - 1
+    return blocks.select("*", F.explode(F.sequence(F.col("_block") * 4096, last)).alias(name)).drop("_block")
+
+
 def segment_schedule(plans: DataFrame, max_segments: int | None = None) -> DataFrame:
     """``(path, duration_sec, seg_sec)`` to one row per segment; with ``max_segments`` a file beyond it is refused as
     one row with ``error_code``."""
     counted = plans.withColumn("_count", segment_count("duration_sec", "seg_sec"))
     over = F.lit(False) if max_segments is None else F.col("_count") > max_segments
     fine = counted.where((F.col("_count") > 0) & ~over)
-    rows = fine.select("path", "duration_sec", "seg_sec", "_count", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("n"))
+    rows = numbered(fine.select("path", "duration_sec", "seg_sec", "_count"), "_count", "n")
     start = F.col("n") * F.col("seg_sec")
     out = rows.select(
         "path", "n", start.alias("start"),
@@ -194,7 +205,7 @@ def boundary_keyframes(plans: DataFrame, keyframes: DataFrame) -> DataFrame:
         k.withColumn("m", F.greatest(first, F.lit(0)).cast("long")).where(F.col("m") < F.col("segment_count"))
         .groupBy("path", "m").agg(F.max(F.struct("pts", "dts")).alias("k"))
     )
-    grid = plans.where("segment_count > 0").select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("segment_count") - 1)).alias("m"))
+    grid = numbered(plans.select("path", "segment_count"), "segment_count", "m").select("path", "m")
     w = W.partitionBy("path").orderBy("m")
     return grid.join(hits, ["path", "m"], "left").select(
         "path", "m", F.last("k", ignorenulls=True).over(w).alias("k")
@@ -225,8 +236,7 @@ def segment_cuts(plans: DataFrame, keyframes: DataFrame) -> DataFrame:
     own = ("path", "seg_sec", "segment_count", "start_sec", "copy_video")
     p = plans.select(*own)
     copied = fresh_boundaries(boundary_keyframes(p.where("copy_video"), keyframes))
-    grid = p.where("segment_count > 0").select(
-        *own, F.explode(F.sequence(F.lit(0).cast("long"), F.col("segment_count") - 1)).alias("m"))
+    grid = numbered(p, "segment_count", "m")
     w = W.partitionBy("path").orderBy("m")
     ahead = grid.join(copied, ["path", "m"], "left").withColumns({
         "next_fresh": F.lead("fresh").over(w), "next_pts": F.lead("pts").over(w), "next_dts": F.lead("dts").over(w)})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import catalog
@@ -103,7 +105,7 @@ def recount(spark, sf_dir):
 @query(with_views("applied") + f"SELECT {', '.join(SEEN)} FROM applied WHERE gen = 2")
 def snapshot_round_trip(spark, sf_dir):
     """Write both generations as snapshots, then read the one the manifest names."""
-    base = f"{shared_dir(spark)}/snapshots/{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    base = f"{shared_dir(spark)}/snapshots/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     snapshots.write_snapshot({"files": views.old_files(spark, sf_dir)}, base, 1)
     old = snapshots.read_snapshot(spark, base, "files")["files"]
     merged = catalog.sweep_missing(catalog.apply_scan(old, views.new_scan(spark, sf_dir), 2), 2, ["/"])

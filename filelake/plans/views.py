@@ -14,11 +14,11 @@ TEXT_TABLES = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. Text tables kept in fewer files than there are cores are spread first, so that work on the
-    texts does not stay in the few tasks that read them; with many files nothing is shuffled."""
+    """A given table. Text tables that fewer tasks would read than there are cores are spread first, so that work on
+    the texts does not stay in those few; the rows are the same, and at scale nothing is shuffled."""
     df = prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXT_TABLES and len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores else df
 
 
 def epoch_micros(ts: str) -> "F.Column":

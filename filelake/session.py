@@ -40,11 +40,13 @@ _LOCAL_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediates: the cluster's ``spark.checkpoint.dir``, else a new local one.
 
-    The local folder is only chosen where the setting is absent, as in tests.
+    A local folder is only chosen where the setting is absent and all tasks run on this machine, as in tests.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:
         _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="filelake-", dir="/tmp")

@@ -127,3 +127,14 @@ def test_field_limit(spark):
     kept = metadata.normalize_fields(rows, max_fields=256)
     assert sorted(int(r["value"]) for r in kept.collect()) == list(range(256))
     assert "WindowGroupLimit" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mark_in_attribute(spark):
+    cases = {'<a title="<mark>">hi</mark>': "&quot;&gt;hi", "<MARK >a</mark><mark/>b": "<mark>a</mark>b", "x<mark>y": "x<mark>y</mark>", "a<b": "a&lt;b", None: None}
+    assert one(spark, [(c,) for c in cases], "h string", markup.strip_markup("h")) == list(cases.values())
+
+
+def test_repeated_fields_keep_the_first(spark):
+    rows = spark.createDataFrame([("/f", [("a.b", "1", 1.0), ("a.b", "1", 1.00001), ("a.c", "1", None), ("a.b", "2", None)])], "path string, f array<struct<key string, value string, num double>>")
+    got = [(r.key, r.value, r.num) for r in metadata.to_rows(rows, F.col("f")).collect()]
+    assert sorted(got, key=str) == sorted([("a.b", "1", 1.0), ("a.c", "1", None), ("a.b", "2", None)], key=str)
