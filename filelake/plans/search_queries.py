@@ -87,10 +87,14 @@ SEARCH_CTES = dict(
         JOIN requests r USING (request_id) WHERE r.kind <> 'f' OR f.ext IN ('txt', 'md')""",
     by_name="SELECT * FROM passed WHERE corpus = 'names' AND mode <> 'content'",
     by_body="SELECT * FROM passed WHERE corpus = 'bodies' AND mode <> 'name'",
-    fallback="""SELECT r.request_id, 'names' AS corpus, 0.1 AS score, f.path, f.name, f.size, f.mtime, r.kind, r.mode FROM requests r, files f
-        WHERE r.mode <> 'content' AND (r.kind <> 'f' OR f.ext IN ('txt', 'md')) AND r.request_id NOT IN (SELECT request_id FROM by_name)
-          AND r.request_id IN (SELECT request_id FROM parts)
-          AND NOT EXISTS (SELECT 1 FROM parts p WHERE p.request_id = r.request_id AND (length(p.text) < 3 OR NOT contains(lower(f.name), lower(p.text))))""",
+    unnamed="""SELECT * FROM requests r WHERE mode <> 'content' AND request_id NOT IN (SELECT request_id FROM by_name)
+          AND request_id NOT IN (SELECT request_id FROM parts WHERE length(text) < 3)""",
+    wanted="SELECT DISTINCT lower(p.text) AS piece FROM parts p JOIN unnamed USING (request_id)",
+    holding="SELECT w.piece, f.path FROM wanted w JOIN files f ON contains(lower(f.name), w.piece)",
+    fallback="""SELECT r.request_id, 'names' AS corpus, 0.1 AS score, f.path, f.name, f.size, f.mtime, r.kind, r.mode
+        FROM (SELECT p.request_id, h.path FROM parts p JOIN holding h ON h.piece = lower(p.text)
+              GROUP BY p.request_id, h.path, p.n_parts HAVING count(DISTINCT p.part_no) = p.n_parts)
+        JOIN unnamed r USING (request_id) JOIN files f USING (path) WHERE r.kind <> 'f' OR f.ext IN ('txt', 'md')""",
     names="SELECT *, false AS fb FROM by_name UNION ALL SELECT *, true FROM fallback",
     merged="""SELECT coalesce(n.request_id, b.request_id) AS request_id, coalesce(n.path, b.path) AS path, coalesce(n.name, b.name) AS name,
           coalesce(n.size, b.size) AS size, coalesce(n.kind, b.kind) AS kind, greatest(n.score, b.score) AS score,

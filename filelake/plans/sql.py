@@ -69,5 +69,5 @@ def with_views(*names: str, **extra: str) -> str:
 
     for name in names:
         add(name)
-    parts = [f"{n} AS ({CTES[n]})" for n in ordered] + [f"{n} AS ({s})" for n, s in extra.items()]
+    parts = [f"{n} AS ({CTES[n]})" for n in ordered] + [f"{n} AS MATERIALIZED ({s})" for n, s in extra.items()]
     return "WITH " + ",\n".join(parts) + "\n"

@@ -118,3 +118,26 @@ def test_unreadable_probes_cost_only_themselves(spark):
     got = {(r["path"], r["key"], r["value"]) for r in metadata.video_fields(probes).collect()}
     assert ("/a.mkv", "video.codec", "h264") in got and ("/a.mkv", "video.container", "matroska") in got and not [g for g in got if g[0] == "/b.mkv"]
     assert {r["path"]: r["error_code"] for r in media.probe_records(probes).collect()} == {"/a.mkv": None, "/b.mkv": "ENCODING_ERROR"}
+
+
+def test_damaged_members_cost_only_themselves(spark):
+    import io
+    import zipfile
+
+    def zipped(*files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for name, data in files:
+                z.writestr(name, data)
+        return out.getvalue()
+
+    inner = zipped(("x.txt", b"inner text"))
+    good = zipped(("a.txt", b"first"), ("in.zip", inner), ("./in.zip", zipped(("y.txt", b"second of the name"))), ("z.txt", b"last"))
+    bad = good.replace(b"inner text", b"inner tex!", 1)
+    df = spark.createDataFrame([("/good.zip", bytearray(good)), ("/bad.zip", bytearray(bad))], "path string, bytes binary")
+    rows = archives.expand_nested(df, max_depth=2).collect()
+    listed = [(r["archive_path"], r["raw"], r["error_code"]) for r in rows if r["depth"] == 1]
+    assert len(listed) == 8 and [(a, n) for a, n, e in listed if e] == [("/bad.zip", "in.zip")]
+    assert {(r["archive_path"], r["raw"]) for r in rows if r["depth"] == 2} == {("/good.zip!/in.zip", "x.txt"), ("/bad.zip!/in.zip", "y.txt")}
+    members = {(r["archive_path"], r["entry_path"]): (r["bytes"] is not None, r["error_code"]) for r in archives.read_members(df).collect()}
+    assert members["/bad.zip", "in.zip"] == (False, "ARCHIVE_ERROR") and members["/bad.zip", "z.txt"] == (True, None)
