@@ -213,6 +213,36 @@ def search_batch(spark, sf_dir):
     return hits.select("request_id", "rank", "path", "name", "size", F.round("score", 4).alias("score"), "matched_in")
 
 
+# Words, a path to clean, size bounds and a metadata filter in one request.
+_IN_SCOPE = """SELECT f.path FROM files f WHERE (f.dir = '/lake/docs/src1' OR f.dir LIKE '/lake/docs/src1/%') AND f.size BETWEEN 300 AND 20000
+    AND f.path IN (SELECT path FROM file_meta WHERE key = 'doc.lang' AND lower(value) = 'en')"""
+COMBINED_CTES = {
+    "requests": f"SELECT 'c' || CAST(item_id AS VARCHAR) AS request_id, 'c' AS kind, substr({_W.format(1)}, 1, 3) AS q, 'both' AS mode FROM benchmark",
+    "in_scope": _IN_SCOPE,
+    **{name: sql for name, sql in SEARCH_CTES.items() if name not in ("requests", "ranked")},
+}
+for _step in ("passed", "fallback"):
+    _joins, _where, _rule = COMBINED_CTES[_step].rpartition("WHERE ")
+    COMBINED_CTES[_step] = f"{_joins}WHERE ({_rule}) AND f.path IN (SELECT path FROM in_scope)"
+
+
+@query(with_views("files", "content", "file_meta", **COMBINED_CTES)
+       + "SELECT request_id, path, round(score, 4) AS score, matched_in, in_content FROM merged")
+def combined_search(spark, sf_dir):
+    """Text together with scope, size bounds and metadata."""
+    none = F.lit(None)
+    r = views.table(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("c"), F.col("item_id").cast("string")).alias("request_id"),
+        F.substring(F.split_part(F.regexp_replace("text", r"\s+", " "), F.lit(" "), F.lit(1)), 1, 3).alias("q"), F.lit("both").alias("mode"),
+        F.lit("/lake/docs/src1/").alias("path"), F.array().cast("array<string>").alias("exts"), F.lit(300).cast("long").alias("min_size"),
+        F.lit(20000).cast("long").alias("max_size"), F.lit(0).cast("long").alias("after"), F.lit(0).cast("long").alias("before"),
+        F.array(F.struct(F.lit("doc.lang").alias("key"), F.lit("=").alias("op"), F.lit("en").alias("value"))).cast(META_SCHEMA).alias("meta"),
+        F.lit("").alias("sort"), F.lit("").alias("dir"), none.cast("long").alias("limit"), none.cast("long").alias("offset"))
+    tables = search_tables(spark, sf_dir)
+    good, _ = search_ops.valid_requests(r, tables)
+    return search_ops.all_hits(good, tables).select("request_id", "path", F.round("score", 4).alias("score"), "matched_in", "in_content")
+
+
 @query()
 def search_snippets(spark, sf_dir):
     """The same pages with rendered snippets; their shape is tested on small fixtures."""
