@@ -232,21 +232,28 @@ def split_depends(text: Column | str, most: int | None = None) -> Column:
     return found if most is None else F.slice(found, 1, most)
 
 
-def control_field(control: Column, key: str) -> Column:
-    """Value of one field in the first paragraph of a control text, continuation lines kept on their own lines."""
+def control_entries(control: Column) -> Column:
+    """Fields of the first paragraph of a control text as structs ``key`` (lower case) and ``value``, in order;
+    continuation lines are kept on their own lines."""
     paragraphs = F.split(F.regexp_replace(control, "\r\n", "\n"), r"\n[ \t]*(?:\n[ \t]*)*\n")
     lines = lambda p: F.split(F.regexp_replace(p, r"\n[ \t]+", "\x01"), "\n")
-    is_field = lambda line: line.rlike(r"^[^ \t:][^:]*:")
-    first = F.try_element_at(F.filter(paragraphs, lambda p: F.exists(lines(p), is_field)), F.lit(1))
-    mine = F.filter(lines(first), lambda x: is_field(x) & (F.lower(F.trim(F.substring_index(x, ":", 1))) == key))
-    raw = F.regexp_replace(F.try_element_at(mine, F.lit(-1)), r"^[^:]*:", "")
-    return F.regexp_replace(F.regexp_replace(raw, r"^\s+|\s+$", ""), r"\s*\x01\s*", "\n")
+    fields = F.transform(paragraphs, lambda p: F.filter(lines(p), lambda line: line.rlike(r"^[^ \t:][^:]*:")))
+    first = F.try_element_at(F.filter(fields, lambda ls: F.size(ls) > 0), F.lit(1))
+    trimmed = lambda x: F.regexp_replace(F.regexp_replace(x, r"^[^:]*:", ""), r"^\s+|\s+$", "")
+    return F.transform(first, lambda x: F.struct(
+        F.lower(F.trim(F.substring_index(x, ":", 1))).alias("key"), F.regexp_replace(trimmed(x), r"\s*\x01\s*", "\n").alias("value")))
+
+
+def control_field(entries: Column, key: str) -> Column:
+    """Value of one field among ``control_entries``; the last one counts."""
+    return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))["value"]
 
 
 def deb_fields(control: DataFrame) -> DataFrame:
-    """Fields of ``(path, control)`` package descriptions."""
+    """Fields of ``(path, control)`` package descriptions. Each text is cut into its fields once."""
     wanted = ("package", "version", "architecture", "section", "maintainer", "description", "installed-size", "depends", "pre-depends")
-    parsed = control.select("path", *[control_field(F.col("control"), k).alias(k.replace("-", "_")) for k in wanted])
+    entries = control.select("path", control_entries(F.col("control")).alias("_entries"))
+    parsed = entries.select("path", *[control_field(F.col("_entries"), k).alias(k.replace("-", "_")) for k in wanted])
     kib = F.when(F.trim("installed_size").rlike("^[0-9]{1,18}$"), F.trim("installed_size").try_cast("long"))
     depends = F.transform(
         split_depends(F.concat_ws(",", "depends", "pre_depends")), lambda d: text_field("package.depends", d))
