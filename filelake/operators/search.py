@@ -314,9 +314,12 @@ def _batch_order() -> list[Column]:
     ]
 
 
-def page_batch(hits: DataFrame, salts: int | None = None) -> DataFrame:
+def page_batch(hits: DataFrame, salts: int | None = None, most: int | None = None) -> DataFrame:
     """The page of every request at once: rows need ``sort, sort_dir, limit, offset, by_name``.
 
+    ``most`` is the largest ``offset+limit`` of the requests, if known: as a constant of the plan it lets each task
+    cut its rows to that many per request and slice before anything is shuffled.
+
     A request may match a third of all files, so each request is first cut to its best ``offset+limit`` rows
     within hashed slices, and only those few rows meet in one group.
     """
@@ -325,6 +328,8 @@ def page_batch(hits: DataFrame, salts: int | None = None) -> DataFrame:
     sliced = hits.withColumn("_slice", F.pmod(F.xxhash64("path"), F.lit(salts)))
     order = _batch_order()
     best = sliced.withColumn("_r", F.row_number().over(W.partitionBy("request_id", "_slice").orderBy(*order)))
+    if most is not None:
+        best = best.where(F.col("_r") <= most)
     best = best.where(F.col("_r") <= last).drop("_r", "_slice")
     ranked = best.withColumn("rank", F.row_number().over(W.partitionBy("request_id").orderBy(*order)).cast("long"))
     return ranked.where((F.col("rank") > F.col("offset")) & (F.col("rank") <= last))
@@ -381,6 +386,9 @@ def valid_requests(requests: DataFrame, tables: SearchTables) -> tuple[DataFrame
 def all_hits(good: DataFrame, tables: SearchTables) -> DataFrame:
     """Every hit of every request, merged over the branches. The text hits are staged: three later steps use them."""
     texts = good.where("has_text")
+    if not texts.head(1):  # requests of filters alone never read the text index
+        plain = _meta_filtered(good, _plain_rows(good, tables), tables)
+        return merge_both(plain, plain.where(F.lit(False)))
     found = staged(_text_rows(texts, tables), "text-hits")
     named = found.where(F.col("matched_in") == "name")
     missing = texts.where(F.col("mode") != "content").join(named, "request_id", "left_anti")
@@ -403,8 +411,9 @@ def search(requests: DataFrame, tables: SearchTables, roots: list[str] | DataFra
         "request_id", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("n_content", F.lit(0)).alias("n_content")
     )
     settings = good.select("request_id", "sort", "sort_dir", "limit", "offset").join(totals, "request_id")
+    most = good.agg(F.max(F.col("offset") + F.col("limit"))).first()[0]
     page = page_batch(
-        hits.join(settings, "request_id").withColumn("by_name", F.col("fallback") & (F.col("n_content") == 0))
+        hits.join(settings, "request_id").withColumn("by_name", F.col("fallback") & (F.col("n_content") == 0)), most=most
     )
     page = page.select("request_id", "rank", "path", "name", "ext", "size", "mtime", "score", "matched_in", "in_content")
     if with_snippets:
