@@ -42,6 +42,8 @@ LOOSE = {
     "card": r"(?<![0-9])[0-9]{4}(?:[./][0-9]{4}){3}(?![0-9])",
     "phone": r"(?<![0-9+(])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])",
 }
+# Fixed value: the least code points of a card candidate; a match of so many has at least CARD_DIGITS digits.
+CARD_LENGTH, CARD_DIGITS = 12, 7
 # What a text must contain for any form of a kind to be in it.
 NEEDS = {"email": r"[@\[(]", "ip": r"[0-9A-Fa-f][.:][0-9A-Fa-f]", "card": "[0-9]{4}", "phone": r"[0-9]{3}[ .)-]|\+[0-9]"}
 
@@ -130,13 +132,15 @@ def candidates(text: Column) -> Column:
                 gate = text.rlike(r"[\[(]at[\])]")
             elif loose and kind == "ip":
                 gate = text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:")
+            elif not loose and kind == "card":  # a separator may stand between any two digits
+                gate = text.rlike(rf"[0-9](?:[\x20-]?[0-9]){{{CARD_DIGITS - 1}}}")
             else:
                 gate = {"email": F.contains(text, F.lit("@")), "phone": F.contains(text, F.lit("+"))}.get(kind, text.rlike(NEEDS[kind]))
                 if loose:
                     gate = text.rlike(NEEDS[kind])
             found = F.when(gate, _places(text, pattern)).otherwise(F.array().cast(MATCH))
             if kind == "card" and not loose:
-                found = F.filter(found, lambda m: F.length(m["match"]) >= 12)
+                found = F.filter(found, lambda m: F.length(m["match"]) >= CARD_LENGTH)
             parts.append(F.transform(found, _tag(number, kind, loose)))
     return F.flatten(F.array(*parts))
 

@@ -221,6 +221,18 @@ def test_masking(spark, corpus, rows):
     assert all(after[t] >= n for t, n in before.items())
 
 
+def test_cards_in_groups_of_any_size(spark):
+    texts = ["card 411 111 111 111 111 1 end", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "41 11-11 11 11 11-11 11", "411 111 111 111 111 2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in personal_data.find(docs).collect():
+        base = plain_personal(texts[r.doc_id])
+        digest = ",".join(f"{personal_data.KINDS[k]}:{a}:{b}" for k, a, b in base)
+        assert r.n_card == len(base) == (r.doc_id < 3) and r.base_sha256 == hashlib.sha256(digest.encode()).hexdigest()
+        assert {*digest.split(",")} - {""} <= {*r.spans.split(",")}
+    masked = {r.doc_id: r.text for r in personal_data.mask(docs).collect()}
+    assert masked == {0: "card [CARD] end", 1: "[CARD]", 2: "[CARD]", 3: texts[3]}
+
+
 def test_reliabilities_recover_labelers():
     r = random.Random(5)
     patterns = Counter()
