@@ -14,6 +14,7 @@ score 0; repeated rows are answered each; extra columns are not read.
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from collections.abc import Iterator
 
@@ -31,36 +32,100 @@ BASE = {
     "cc by nc": "cc-by-nc",
 }
 
-# License notices and texts as templates.
+WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+
+def _opt(words: str) -> str:
+    return f"<<beginOptional>>{words}<<endOptional>>"
+
+
+def _full(name: str, first: str, after: str | None) -> str:
+    """The template of a whole license: its terms, from ``first`` to before ``after``, must stand there to the last word."""
+    text = pkgutil.get_data(__package__, f"license_texts/{name}.txt").decode()
+    a, b = text.index(first), len(text) if after is None else text.index(after)
+    lead, terms, rest = (b" ".join(WORD.findall(t.lower().encode())).decode() for t in (text[:a], text[a:b], text[b:]))
+    return _opt(lead) + terms + _opt(rest)
+
+
+_ASSURED = (
+    "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty "
+    "of merchantability or fitness for a particular purpose see the gnu general public license for more details"
+)
+
+# License notices and texts as templates; those of whole licenses go through to the last mandatory sentence.
 TEMPLATES = {
     "mit": [
         "<<beginOptional>>this <<any:1,2>> is<<endOptional>> released under the <<beginOptional>>terms of the<<endOptional>> mit license",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
         "documentation files <<beginOptional>>the software<<endOptional>> to deal in the software without restriction "
         "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
-        "copies of the software",
+        "copies of the software and to permit persons to whom the software is furnished to do so subject to the following "
+        "conditions the above copyright notice and this permission notice <<beginOptional>>including the next "
+        "paragraph<<endOptional>> shall be included in all copies or substantial portions of the software the software is "
+        "provided as is without warranty of any kind express or implied including but not limited to the warranties of "
+        "merchantability fitness for a particular purpose and noninfringement in no event shall <<any:1,12>> be liable for any "
+        "claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+        "connection with the software or the use or other dealings in the software",
     ],
     "apache-2": [
         "licensed under the apache license version 2 <<beginOptional>>0<<endOptional>> <<beginOptional>>the license "
-        "you may not use this file except in compliance with the license<<endOptional>>",
+        "you may not use this file except in compliance with the license <<beginOptional>>you may obtain a copy of the license "
+        "at <<any:5,9>> unless required by applicable law or agreed to in writing software distributed under the license is "
+        "distributed on an as is basis without warranties or conditions of any kind either express or implied see the license "
+        "for the specific language governing permissions and limitations under the license<<endOptional>><<endOptional>>",
+        _full("Apache-2.0", "TERMS AND CONDITIONS FOR USE", "END OF TERMS"),
     ],
+    "gpl-1": [_full("GPL-1", "0. This License Agreement", "END OF TERMS")],
+    "gpl-2": [_full("GPL-2", "0. This License applies", "END OF TERMS")],
     "gpl-3": [
         "<<beginOptional>>this <<any:1,2>> is<<endOptional>> licensed under the <<beginOptional>>terms of the<<endOptional>> gnu general public license "
         "<<beginOptional>>gpl<<endOptional>> version 3 <<beginOptional>>or <<beginOptional>>at your option "
         "any<<endOptional>> later <<beginOptional>>version<<endOptional>><<endOptional>>",
-        "under the terms of the gnu general public license as published by the free software foundation either version 3",
+        "under the terms of the gnu general public license as published by the free software foundation "
+        "<<beginOptional>>either<<endOptional>> version 3 of the license <<beginOptional>>or at your option any later "
+        f"version<<endOptional>> {_opt(_ASSURED)}",
+        _full("GPL-3", "0. Definitions.", "END OF TERMS"),
     ],
+    "lgpl-2": [_full("LGPL-2", "0. This License Agreement", "END OF TERMS")],
+    "lgpl-2.1": [_full("LGPL-2.1", "0. This License Agreement", "END OF TERMS")],
+    "lgpl-3": [_full("LGPL-3", "This version of the GNU Lesser", None)],
+    "mpl-1.1": [_full("MPL-1.1", "1. Definitions.", "EXHIBIT A -Mozilla")],
+    "mpl-2": [_full("MPL-2.0", "1. Definitions", "Exhibit A - Source")],
     "cc-by-nc": [
         "licensed under <<beginOptional>>a<<endOptional>> <<beginOptional>>the<<endOptional>> cc by nc "
         "<<beginOptional>><<any:1,1>> 0<<endOptional>> <<beginOptional>>license<<endOptional>>",
     ],
     "bsd": [
         "redistribution and use in source and binary forms with or without modification are permitted provided that the "
-        "following conditions are met <<any:0,80>> redistributions in binary form must reproduce the above copyright notice",
+        f"following conditions are met {_opt('1')} {_opt('a')} redistributions of source code must retain the above copyright notice this "
+        f"list of conditions and the following disclaimer {_opt('2')} {_opt('b')} redistributions in binary form must reproduce the above "
+        "copyright notice this list of conditions and the following disclaimer in the documentation and or other materials "
+        f"provided with the distribution <<beginOptional>>{_opt('3')} {_opt('c')} all advertising materials mentioning features or use of "
+        "this software must display the following acknowledgement this product includes software developed by "
+        f"<<any:1,20>><<endOptional>> <<beginOptional>>{_opt('3')} {_opt('4')} {_opt('c')} {_opt('d')} neither the name of <<any:1,30>> "
+        f"may be used to endorse or promote products derived from this software without specific {_opt('prior')} written "
+        f"permission<<endOptional>> <<beginOptional>>{_opt('3')} {_opt('4')} {_opt('c')} {_opt('d')} the names <<any:0,30>> may not be used "
+        f"to endorse or promote products derived from this software without specific {_opt('prior')} written "
+        f"permission<<endOptional>> <<beginOptional>>{_opt('3')} {_opt('4')} {_opt('c')} {_opt('d')} the name <<any:0,30>> may not be used "
+        f"to endorse or promote products derived from this software without specific {_opt('prior')} written "
+        "permission<<endOptional>> this software is provided by <<any:1,20>> as is and any express or implied warranties "
+        "including but not limited to the implied warranties of merchantability and fitness for a particular purpose are "
+        "disclaimed in no event shall <<any:1,20>> be liable for any direct indirect incidental special exemplary or consequential "
+        "damages including but not limited to procurement of substitute goods or services loss of use data or profits or business "
+        "interruption however caused and on any theory of liability whether in contract strict liability or tort including "
+        "negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ],
+    "isc": [
+        "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or "
+        "without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        f"the software is provided as is and <<any:1,12>> {disclaim} all warranties with regard to this software including all "
+        "implied warranties of merchantability and fitness in no event shall <<any:1,12>> be liable for any special direct "
+        "indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an "
+        "action of contract negligence or other tortious action arising out of or in connection with the use or performance of "
+        "this software" for disclaim in ("disclaims", "disclaim")
     ],
 }
 
-WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _MARK = re.compile(r"<<(beginOptional|endOptional|any:(\d+),(\d+))>>")
 
 

@@ -369,6 +369,46 @@ def test_licenses(spark, corpus, rows):
     check(QUERIES["op9_license_templates"](spark, corpus), rows, answer)
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
+files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
+publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so,
+subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial
+portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED
+TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT
+HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR
+IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
+conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following
+disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following
+disclaimer in the documentation and/or other materials provided with the distribution. {third} THIS SOFTWARE IS PROVIDED BY {who} ``AS
+IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A
+PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL {who} BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR
+BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE
+OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+
+
+def test_whole_licenses_only():
+    from pathlib import Path
+
+    scanner = licenses.Scanner(licenses.BASE, licenses.TEMPLATES)
+    labels = lambda text: {label for *_, label in scanner.scan(text.lower().encode())[1]}
+    third = "3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    bsd = [BSD.format(third=t, who="THE REGENTS AND CONTRIBUTORS") for t in ("", third)]
+    assert labels("x " + MIT + " y") == {"mit"} and all(labels(t) == {"bsd"} for t in bsd)
+    assert not labels(MIT.replace("THE SOFTWARE IS PROVIDED", "The Software shall be used for Good, not Evil. THE SOFTWARE IS PROVIDED"))
+    assert not labels(MIT.replace("all copies or substantial", "some copies or substantial")) and not labels(MIT[: MIT.index(", and to permit")])
+    assert not labels(bsd[1].replace("specific prior", "any prior")) and not labels(bsd[0].replace("are disclaimed", "are given").replace("ARE DISCLAIMED", "ARE GIVEN"))
+    folder = Path(licenses.__file__).parent / "license_texts"
+    for name, label in [("Apache-2.0", "apache-2"), ("GPL-1", "gpl-1"), ("GPL-2", "gpl-2"), ("GPL-3", "gpl-3"), ("LGPL-2", "lgpl-2"),
+                        ("LGPL-2.1", "lgpl-2.1"), ("LGPL-3", "lgpl-3"), ("MPL-1.1", "mpl-1.1"), ("MPL-2.0", "mpl-2")]:
+        words = licenses.WORD.findall((folder / f"{name}.txt").read_text().lower().encode())
+        own = [a for at, a in scanner.automata if at == label and len(a.on_word) > 900]
+        assert any(a.accepts(words) for a in own), name
+        at = words.index(b"warranty", len(words) // 3) if b"warranty" in words[len(words) // 3 :] else len(words) // 2
+        assert not any(a.find(words[:at] + [b"altered"] + words[at + 1 :]) for a in own), name
+
+
 def test_template_marks():
     a = licenses.Automaton("licensed under <<beginOptional>>the <<beginOptional>>good<<endOptional>> old<<endOptional>> <<any:1,2>> terms")
     yes = ["licensed under x terms", "licensed under the old x y terms", "licensed under the good old x terms", "licensed under terms terms"]
