@@ -265,8 +265,8 @@ def has_filter() -> Column:
     )
 
 
-def validate_requests(requests: DataFrame) -> DataFrame:
-    """Requests that cannot run: bad mode or sort, nothing to search for, or a page beyond the window."""
+def validate_requests(requests: DataFrame, max_window: int | None = fixed.MAX_WINDOW) -> DataFrame:
+    """Requests that cannot run: bad mode or sort, nothing to search for, or a page beyond the window (None: no window)."""
     from ..functions.text import split_query
 
     window = F.col("offset") + F.col("limit")
@@ -276,7 +276,7 @@ def validate_requests(requests: DataFrame) -> DataFrame:
         .when((F.size(split_query("q")) == 0) & ~has_filter(), F.lit("no searchable terms and no filters"))
         .when(~F.coalesce("sort", F.lit("")).isin("", "relevance", "name", "size", "mtime"), F.lit("invalid sort"))
         .when(~F.coalesce("dir", F.lit("")).isin("", "asc", "desc"), F.lit("invalid sort direction"))
-        .when(window > fixed.MAX_WINDOW, F.lit(f"offset+limit must not exceed {fixed.MAX_WINDOW}"))
+        .when(F.lit(False) if max_window is None else window > max_window, F.lit(f"offset+limit must not exceed {max_window}"))
     )
     return (
         with_limits(requests).withColumn("message", message).where("message IS NOT NULL")

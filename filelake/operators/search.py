@@ -289,12 +289,13 @@ def sort_order(sort: str, direction: str = "asc") -> list[Column]:
     return [F.desc(key), F.desc("path")] if direction == "desc" else [F.asc(key), F.asc("path")]
 
 
-def sort_and_page(hits: DataFrame, sort: str, direction: str = "asc", limit: int = 0, offset: int = 0) -> DataFrame:
+def sort_and_page(hits: DataFrame, sort: str, direction: str = "asc", limit: int = 0, offset: int = 0,
+                  max_window: int | None = None) -> DataFrame:
     """One page of one request: a single take-ordered step, never a full sort."""
     limit = fixed.DEFAULT_LIMIT if limit <= 0 else limit
     offset = max(offset, 0)
-    if offset + limit > fixed.MAX_WINDOW:
-        raise ValueError(f"offset+limit must not exceed {fixed.MAX_WINDOW}")
+    if max_window is not None and offset + limit > max_window:
+        raise ValueError(f"offset+limit must not exceed {max_window}")
     return hits.orderBy(*sort_order(sort, direction)).offset(offset).limit(limit)
 
 
@@ -365,9 +366,10 @@ def add_snippets(page: DataFrame, requests: DataFrame, content: DataFrame) -> Da
 
 # --- the whole search -------------------------------------------------------------------------------------
 
-def valid_requests(requests: DataFrame, tables: SearchTables) -> tuple[DataFrame, DataFrame]:
+def valid_requests(requests: DataFrame, tables: SearchTables,
+                   max_window: int | None = fixed.MAX_WINDOW) -> tuple[DataFrame, DataFrame]:
     """Requests that can run, with defaults filled in, and one error row for each of the others."""
-    bad = filters.validate_requests(requests)
+    bad = filters.validate_requests(requests, max_window)
     bad = bad.unionByName(
         filters.validate_filters(requests, tables.fields).join(bad, "request_id", "left_anti")
     )
@@ -399,12 +401,13 @@ def all_hits(good: DataFrame, tables: SearchTables) -> DataFrame:
 
 
 def search(requests: DataFrame, tables: SearchTables, roots: list[str] | DataFrame | None = None,
-           with_snippets: bool = True) -> SearchResult:
-    """Run a table of requests. ``roots`` confines all answers to some directories (none given: everything)."""
+           with_snippets: bool = True, max_window: int | None = fixed.MAX_WINDOW) -> SearchResult:
+    """Run a table of requests. ``roots`` confines all answers to some directories (none given: everything);
+    ``max_window`` None allows pages of any length."""
     if roots is not None:
         confined = filters.in_scope(tables.files, roots)
         tables = SearchTables(confined, tables.file_meta, tables.content, tables.index, tables.fields)
-    good, errors = valid_requests(requests, tables)
+    good, errors = valid_requests(requests, tables, max_window)
     good = staged(good, "requests")
     hits = staged(all_hits(good, tables), "hits")
     totals = good.select("request_id").join(count_matches(hits), "request_id", "left").select(

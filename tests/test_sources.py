@@ -48,6 +48,23 @@ def test_nesting_stops_at_the_limit(spark):
     assert out == {("/n.tar.gz", "l2.zip", 1), ("/n.tar.gz!/l2.zip", "l1.zip", 2), ("/n.tar.gz!/l2.zip!/l1.zip", "l0.zip", 3)}
 
 
+def test_no_limits_unless_asked_for(spark):
+    import inspect
+
+    for of, names in ((archives.read_archives, ["max_entries"]), (archives.read_members, ["cap"]), (archives.expand_nested, ["max_entries", "layer_cap"])):
+        assert all(inspect.signature(of).parameters[n].default is None for n in names)
+    many = 250_003
+    inner = archives.pack([("deep.txt", b"x")], "zip")
+    for _ in range(4):
+        inner = archives.pack([("in.zip", inner)], "zip")
+    good = archives.pack([(f"d/{k}", b"") for k in range(many)], "tar.gz")
+    rows = [("/many.tar.gz", bytearray(good)), ("/cut.tar.gz", bytearray(good[: len(good) // 2])), ("/n.zip", bytearray(inner))]
+    df = spark.createDataFrame(rows, "path string, bytes binary")
+    records = archives.read_archives(df.where("path <> '/n.zip'")).groupBy("archive_path", "error_code").count().collect()
+    assert {(r["archive_path"], r["error_code"], r["count"]) for r in records} == {("/many.tar.gz", None, many), ("/cut.tar.gz", "ARCHIVE_ERROR", 1)}
+    assert {r["depth"] for r in archives.expand_nested(df.where("path = '/n.zip'"), max_depth=None).collect()} == {1, 2, 3, 4, 5}
+
+
 def test_member_cap_is_exact(spark):
     df = spark.createDataFrame([("/m.tar.zst", bytearray(archives.pack([("a", b"12345"), ("b", b"123456")], "tar.zst")))], "path string, bytes binary")
     got = {r["entry_path"]: (r["bytes"] and bytes(r["bytes"]), r["error_code"]) for r in archives.read_members(df, cap=5).collect()}
