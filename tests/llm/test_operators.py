@@ -277,6 +277,18 @@ def test_network_on_held_out_examples(network):
     assert hit[0].mean() > 0.95 and hit[1].mean() < 0.01
 
 
+def test_passwords_in_connection_strings(spark):
+    keys = ["LongPassw0rd12345678", "xK3vQ9pLm2Zt7RbW4nYs", "Winter2024Harbour8812"]
+    texts = [f"the service reads postgres://loader:{k}@db.example.com/main at start" for k in keys]
+    texts += [f"write to {a} about it" for a in ("margaret.holloway.77@example.com", "jonathan.winter.12@mail.example.org", "k@archive-node07.example.com")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secret_spans.find(docs).collect()}
+    for k, key in enumerate(keys):
+        at = texts[k].index(key)
+        assert got[k] == f"model:{at}:{at + len(key)}"
+    assert [got[k] for k in (3, 4, 5)] == [""] * 3
+
+
 def test_network_gradient():
     net = secret_spans.Network()
     x = np.array([secret_spans.look(*e)[0] for e in sum(secret_spans.made_up(random.Random(7)), [])[::40]])
