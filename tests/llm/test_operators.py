@@ -289,6 +289,23 @@ def test_passwords_in_connection_strings(spark):
     assert [got[k] for k in (3, 4, 5)] == [""] * 3
 
 
+def test_threshold_is_bound_by_recall(monkeypatch):
+    net = secret_spans.Network()
+    r = np.random.default_rng(3)
+    y = np.array([0.0] * 4000 + [1.0] * 400)  # few positives that negatives surround
+    z = np.where(y == 1, r.normal(1, 1, len(y)), r.normal(0, 1, len(y)))
+    monkeypatch.setattr(net, "raw", lambda x: z)
+    net.calibrate(z, y)
+    assert (net.score(z) >= net.threshold)[y == 1].mean() >= secret_spans.RECALL and net.threshold < 0.5
+
+
+def test_keys_are_no_negative_examples():
+    text = "see ghp_abcdefghij0123456789ABCDEFGHIJ012345 and path/of/things/risk-file-number-12 here"
+    out = next(secret_spans._examples(iter([pa.RecordBatch.from_pydict({"text": [text]})])))
+    seen = [(x["text"][x["start"] : x["end"]], x["yes"]) for x in out.to_pylist()]
+    assert seen == [("path/of/things/risk-file-number-12", 0)]
+
+
 def test_network_gradient():
     net = secret_spans.Network()
     x = np.array([secret_spans.look(*e)[0] for e in sum(secret_spans.made_up(random.Random(7)), [])[::40]])
