@@ -6,8 +6,9 @@ and sorted. For each of ``REPEATS`` random numberings of the terms, nested subse
 the lexicon; the text's terms in a subset are hashed to one code. A fingerprint has the codes of the two subset sizes
 in which a text of that many terms has about one term and less, so short and long texts are told apart equally well.
 
-Document frequencies are counted over all documents, per bucket of a 64-bit term hash. The lexicon is the bitmap of
-buckets in the band: ``BUCKETS / 8`` bytes (2 MB) whatever the corpus, which is what makes it safe to broadcast.
+Document frequencies are counted over all documents, per 64-bit term hash. The lexicon is the bitmap of the buckets that
+hold a term whose own frequency is in the band: ``BUCKETS / 8`` bytes (2 MB) whatever the corpus, which is what makes it
+safe to broadcast. No term of the band is left out; one outside it passes if it shares its bucket with one inside.
 
 Words are runs outside space and \\t..\\r, A-Z taken as a-z. Defined cases: a null text is empty; a text without words
 has the all-empty fingerprint; with fewer than ``FEWEST`` terms in the band all of a text's terms are used. An empty
@@ -41,8 +42,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in wordhash.slices(batch.column(0)):
             hashes, offsets = wordhash.distinct(*wordhash.words(texts))
-            bucket, n = np.unique(_bucket(hashes), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(n)], ["bucket", "n"])
+            term, n = np.unique(hashes, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
 
 
 @dataclass(frozen=True)
@@ -57,9 +58,10 @@ def build_lexicon(docs: DataFrame, low: float = 0.2, high: float = 0.95) -> Lexi
     """The lexicon of all texts. low, high: the band of ln(documents / document frequency) / ln(documents)."""
     n = docs.count()
     scale = math.log(n) if n > 1 else 1.0
-    counts = docs.select("text").mapInArrow(_count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("df"))
+    counts = docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     share = F.log(F.lit(float(max(n, 1))) / F.col("df")) / scale
-    return Lexicon(common.bitmap(counts.where(share.between(low, high)), "bucket", BUCKETS))
+    inside = counts.where(share.between(low, high)).select(F.shiftrightunsigned("term", 64 - BUCKETS.bit_length() + 1).alias("bucket"))
+    return Lexicon(common.bitmap(inside, "bucket", BUCKETS))
 
 
 def _level(n: np.ndarray) -> np.ndarray:

@@ -69,6 +69,22 @@ def test_lexicon_band_and_likeness(spark):
     assert imatch.likeness(a, a) == 1.0 and imatch.likeness(a, b) == 0.0
 
 
+def test_frequencies_are_counted_per_term(spark):
+    from filelake.llm import wordhash
+
+    made = [f"w{k}" for k in range(30_000)]
+    seen, pair = {}, None
+    for w, b in zip(made, imatch._bucket(wordhash.words(pa.array([" ".join(made)]))[0]).tolist()):
+        if b in seen:
+            pair = (seen[b], w)
+            break
+        seen[b] = w
+    docs = spark.createDataFrame([(k, f"the {pair[k] if k < 2 else ''} both{k // 2}") for k in range(64)], "doc_id long, text string")
+    lexicon = imatch.build_lexicon(docs, 0.2, 0.9)  # each of the pair is in one document, both in two
+    inside = lexicon.member(wordhash.words(pa.array([f"{pair[0]} {pair[1]} both7 the"]))[0])
+    assert inside.tolist() == [False, False, True, False]
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 def plain_quality(x):
