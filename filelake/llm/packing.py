@@ -1,8 +1,9 @@
 """Best-fit-decreasing packing of documents into sequences of a fixed number of tokens.
 
 Token counts are cut into pieces first (only documents above the capacity; all their pieces but the first are full).
-Pieces are dealt by a hash into groups of about ``GROUP`` pieces. Every group has the same mix of lengths, so each
-leaves about one sequence that the whole could have filled, and no task holds more than a group, whatever the input.
+Pieces are dealt by a hash into groups of about ``GROUP`` pieces. Every group has about the same mix of lengths, and no
+task holds more than a group, whatever the input; repeated rows are spread like others. Open sequences of different groups
+never meet, which costs some sequences of each group (README).
 In a group, lengths are taken from the longest to the shortest. The open bins are kept by what remains free in them,
 and a segment tree over the remaining capacities finds the tightest one that still takes the piece, in as many steps
 as the tree is high.
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,7 +81,7 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 def _pieces(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe, task, made = encoder(path), np.uint64(TaskContext.get().partitionId()), 0
         for batch in batches:
             for at, texts in wordhash.slices(batch.column(1)):
                 flat, offsets = bpe.encode(texts)
@@ -93,7 +95,10 @@ def _pieces(path: str, capacity: int, end_id: int):
                 if not rows:
                     continue
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), *[pa.int64()] * 3))]
-                spread = wordhash.mix(np.array([zlib.crc32(repr(r).encode()) for r in rows], np.uint64)) >> np.uint64(1)
+                place = np.arange(made, made + len(rows), dtype=np.uint64) + (task << np.uint64(40))
+                made += len(rows)
+                own = np.array([zlib.crc32(repr(r).encode()) for r in rows], np.uint64)
+                spread = wordhash.mix(wordhash.mix(place) ^ own) >> np.uint64(1)  # equal rows go to different groups
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(spread.astype(np.int64))],
                                                  PIECE_SCHEMA.replace(" int", "").replace(" long", "").split(", "))
 

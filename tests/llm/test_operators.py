@@ -178,6 +178,12 @@ def test_packing(spark, corpus, rows, ids):
     assert len(sequences) <= 1 + 1.02 * sum(lengths.values()) / 1024
 
 
+def test_repeated_rows_are_dealt_to_many_groups(spark):
+    docs = spark.range(200).selectExpr("7L as doc_id", "'one text for all' as text")
+    made = packing.pieces(docs, encoding.default_tokenizer())
+    assert made.count() == 200 and made.select("shuffled_").distinct().count() == 200
+
+
 def test_best_fit_takes_the_tightest_bin():
     r = random.Random(2)
     lengths = np.array([r.randint(0, 100) for _ in range(400)])
