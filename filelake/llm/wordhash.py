@@ -6,6 +6,8 @@ Its hash is a polynomial over its bytes modulo 2^64, mixed; equal words always h
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -53,23 +55,44 @@ def slices(texts: pa.Array, most_bytes: int = 2 << 20):
         at = to
 
 
-def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, n+1 offsets of the texts' words); lower: A-Z count as a-z."""
-    data, offsets = string_bytes(texts)
-    n = len(offsets) - 1
-    if len(data) == 0:
-        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
-    if lower:
-        data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    inside = ~((data == 32) | ((data >= 9) & (data <= 13)))
+def runs(data: np.ndarray, offsets: np.ndarray, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and end of every word of the texts whose bytes and offsets these are; none goes beyond its text."""
+    inside = ~((data == 32) | ((data >= 9) & (data <= 13))) if of is None else of[data]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
     text_starts = offsets[:-1][offsets[:-1] < offsets[1:]]
     first[text_starts] = inside[text_starts]
-    starts = np.flatnonzero(first)
     last = inside.copy()
     last[:-1] &= ~inside[1:] | first[1:]
-    ends = np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def gathered(batches: Iterator[pa.RecordBatch], most_bytes: int) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(first column, texts) of consecutive rows with about most_bytes of text, over the borders of batches."""
+    held, size = [], 0
+    for batch in batches:
+        for at, texts in slices(batch.column(1), most_bytes):
+            if held and size + texts.nbytes > most_bytes:
+                yield tuple(pa.concat_arrays([part[k] for part in held]) for k in (0, 1))
+                held, size = [], 0
+            held.append((batch.column(0).slice(at, len(texts)), texts))
+            size += texts.nbytes
+    if held:
+        yield tuple(pa.concat_arrays([part[k] for part in held]) for k in (0, 1))
+
+
+def words(texts: pa.Array, lower: bool = True, of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, n+1 offsets of the texts' words); lower: A-Z count as a-z.
+
+    of: 256 flags of the bytes that words are made of, if not of all but white space; bytes from 128 must be all in or out.
+    """
+    data, offsets = string_bytes(texts)
+    n = len(offsets) - 1
+    if len(data) == 0:
+        return np.empty(0, np.uint64), np.zeros(n + 1, np.int64)
+    if lower:
+        data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
+    starts, ends = runs(data, offsets, of)
     up, down = _power_table(len(data) + 1)
     terms = (data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]
     sums = np.empty(len(data) + 1, np.uint64)
