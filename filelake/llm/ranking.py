@@ -117,24 +117,25 @@ class Best:
             self.least = max(1, int(self.scores[-1]))
 
 
-def hybrid(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, best: Best) -> None:
+def hybrid(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarray, best: Best,
+           stretch: int = STRETCH, short: int = SHORT) -> None:
     """One item in one block. lists: (documents ascending, contributions, largest contribution of each stretch)."""
-    n, n_stretches = len(ids), -(-len(ids) // STRETCH)
+    n, n_stretches = len(ids), -(-len(ids) // stretch)
     sums, long = np.zeros(n, np.int64), []
     for docs, gains, tops in lists:
-        if len(docs) * SHORT <= n:
+        if len(docs) * short <= n:
             sums[docs] += gains
         else:
             long.append((docs, gains, tops))
     found = np.flatnonzero(sums)
     if len(found):
         tops = np.zeros(n_stretches, np.int64)
-        np.maximum.at(tops, found // STRETCH, sums[found])
+        np.maximum.at(tops, found // stretch, sums[found])
         long.append((found, sums[found], tops))
     if not long:
         return
     bounds = np.stack([tops for _, _, tops in long])
-    cuts = [np.searchsorted(docs, np.arange(n_stretches + 1) * STRETCH) for docs, _, _ in long]
+    cuts = [np.searchsorted(docs, np.arange(n_stretches + 1) * stretch) for docs, _, _ in long]
     total = bounds.sum(axis=0)
     for s in np.argsort(-total, kind="stable").tolist():
         if total[s] < best.least:
@@ -142,8 +143,8 @@ def hybrid(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarr
         order = np.argsort(bounds[:, s], kind="stable")
         reach = np.cumsum(bounds[order, s])
         optional = int(np.searchsorted(reach, best.least))  # all of these together stay below the k-th best
-        score = np.zeros(STRETCH, np.int64)
-        base = s * STRETCH
+        score = np.zeros(stretch, np.int64)
+        base = s * stretch
         for x in order[optional:].tolist():
             docs, gains, _ = long[x]
             part = slice(cuts[x][s], cuts[x][s + 1])
@@ -166,7 +167,7 @@ def hybrid(lists: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: np.ndarr
             best.add(score[alive], ids[docs[alive] + base])
 
 
-def _search(asked, n: int, length: int, k: int):
+def _search(asked, n: int, length: int, k: int, stretch: int, short: int):
     """Index rows -> (item, doc_id, score), the k best of each item among a task's blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +183,7 @@ def _search(asked, n: int, length: int, k: int):
                 place = np.minimum(np.searchsorted(terms, wanted), len(terms) - 1)
                 here = terms[place] == wanted
                 m = 50 + (50 * lengths * n) // length
-                n_stretches = -(-len(ids) // STRETCH)
+                n_stretches = -(-len(ids) // stretch)
                 lists: dict[int, tuple] = {}
                 for t in np.flatnonzero(here).tolist():
                     end = ends[place[t]]
@@ -190,12 +191,12 @@ def _search(asked, n: int, length: int, k: int):
                     d, tf = docs[part], tfs[part]
                     gains = weights[t] * ((1_000_000_000 * tf) // (1000 * tf + 20 * m[d]))
                     tops = np.zeros(n_stretches, np.int64)
-                    np.maximum.at(tops, d // STRETCH, gains)
+                    np.maximum.at(tops, d // stretch, gains)
                     lists[t] = (d, gains, tops)
                 for i in range(len(items)):
                     mine = [lists[t] for t in number[starts[i] : starts[i + 1]].tolist() if t in lists]
                     if mine:
-                        hybrid(mine, ids, best[i])
+                        hybrid(mine, ids, best[i], stretch, short)
         sizes = [len(b.ids) for b in best]
         if sum(sizes):
             doc_ids = np.concatenate([b.ids for b in best])
@@ -228,7 +229,7 @@ def search(index: DataFrame, items: DataFrame, k: int = 50) -> DataFrame:
             names, starts = np.unique(item, return_index=True)
             asked = (names, np.append(starts, len(item)), wanted, np.searchsorted(wanted, term), weights)
             hits = index.select("doc_ids", "lengths", "terms", "counts", "docs", "tfs").mapInArrow(
-                _search(spark.sparkContext.broadcast(asked), size.n, size.l, k), "item long, doc_id long, score long")
+                _search(spark.sparkContext.broadcast(asked), size.n, size.l, k, STRETCH, SHORT), "item long, doc_id long, score long")
             found = found.unionByName(hits)
     place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), "doc_id"))
     part = F.row_number().over(Window.partitionBy("item", "part").orderBy(F.desc("score"), "doc_id"))

@@ -28,6 +28,9 @@ def corpus(spark, tmp_path_factory):
     for c in ("words_", "part_", "key_", "text_", "to", "start", "gone_"):
         docs, hard, again = (d.withColumn(c, F.lit(1)) for d in (docs, hard, again))
     docs.unionByName(hard).unionByName(again).write.parquet(f"{folder}/documents.parquet")
+    items = spark.read.parquet(f"{SAMPLE}/benchmark.parquet").withColumn("term", F.lit(1)).withColumn("rank", F.lit("x"))
+    items = items.unionByName(spark.createDataFrame([(900, None, 1, ""), (901, "", 1, ""), (902, "b a zzzzz a", 1, ""), (902, "the word", 1, "")], items.schema))
+    items.unionByName(items.where("item_id < 2")).write.parquet(f"{folder}/benchmark.parquet")
     labels = spark.read.parquet(f"{SAMPLE}/labels.parquet")
     labels.unionByName(spark.createDataFrame([(None, 0, None), (5, None, None)], labels.schema)).write.parquet(f"{folder}/labels.parquet")
     return folder
@@ -41,7 +44,7 @@ def rows(spark, corpus):
 @pytest.fixture(scope="session")
 def empty(spark, corpus, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{corpus}/{t}.parquet").limit(0).write.parquet(f"{folder}/{t}.parquet")
     spark.read.parquet(f"{SAMPLE}/pages.parquet").limit(0).write.parquet(f"{folder}/pages.parquet")
     return folder
