@@ -28,35 +28,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from filelake.llm import common, wordhash
+from filelake.llm.pieces import MESSAGE, NONE, beside, bits, message, packed, planes, seat_of, unbits, unpacked, unplanes, with_replies
 
 PIECE_BYTES = 4 << 20
 CLASSES = 1 << 12  # prefix hashes of one length are counted in so many classes
 GROUPS = 4  # groups per task that a prefix may fill before it is made longer
-NONE = -(1 << 63)
-
-MESSAGE = "piece long, kind int, seat int, a binary, b binary, c binary"
-NAMES = ["piece", "kind", "seat", "a", "b", "c"]
-
-
-def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows))
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], NAMES)
-
-
-def _planes(values: np.ndarray) -> bytes:
-    """Fixed-width values byte by byte of equal weight, which compresses better."""
-    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
-
-
-def _unplanes(data: bytes, kind: str) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 class Piece:
@@ -100,10 +81,6 @@ class Piece:
         return docs, wordhash.mix(total ^ self.n_words[docs].astype(np.uint64))
 
 
-def _seat(hashes: np.ndarray, n: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def _pieces(depth: int):
     """(doc_id, text) -> pieces: ids, lengths and compressed texts; and one row of prefix counts per task."""
 
@@ -115,28 +92,19 @@ def _pieces(depth: int):
             ids = ids.fill_null(NONE).to_numpy(zero_copy_only=False)
             for level, value in enumerate(Piece(ids, texts, depth).prefixes()):
                 counts[level] += np.bincount((value >> shift).astype(np.int64), minlength=CLASSES)
-            data, offsets = wordhash.string_bytes(texts)
-            yield _rows([(first + k, 0, 0, ids.astype("<i8").tobytes(), np.diff(offsets).astype("<i8").tobytes(),
-                          zstandard.ZstdCompressor(3).compress(data.tobytes()))])
-        yield _rows([(first, 9, 0, counts.astype("<i8").tobytes(), b"", b"")])
+            yield message([packed(first + k, ids, texts)])
+        yield message([(first, 9, 0, counts.astype("<i8").tobytes(), b"", b"")])
 
     return run
 
 
-def _open(ids: bytes, lengths: bytes, blob: bytes, depth: int) -> Piece:
-    offsets = np.concatenate([[0], np.cumsum(np.frombuffer(lengths, "<i8"))]).astype("<i8")
-    data = zstandard.ZstdDecompressor().decompress(blob) if offsets[-1] else b""
-    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data))
-    return Piece(np.frombuffer(ids, "<i8"), texts, depth)
-
-
 def _asked(piece: Piece, n: int):
     """Per task: the borders of its distinct windows and of the documents it is asked about (in order of ``by``)."""
     docs, keys = piece.copy_keys()
-    to = _seat(keys, n)
+    to = seat_of(keys, n)
     by = np.argsort(to, kind="stable")
     seats = np.arange(n + 1)
-    return np.searchsorted(_seat(piece.distinct, n), seats), np.searchsorted(to[by], seats), docs[by], keys[by]
+    return np.searchsorted(seat_of(piece.distinct, n), seats), np.searchsorted(to[by], seats), docs[by], keys[by]
 
 
 def _ask(depth: int, n: int):
@@ -145,7 +113,7 @@ def _ask(depth: int, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, ids, lengths, blob in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5))):
-                piece = _open(ids, lengths, blob, depth)
+                piece = Piece(*unpacked(ids, lengths, blob), depth)
                 piece.windows()
                 low = (piece.distinct & np.uint64(0xFFFFFFFF)).astype("<u4")
                 w, d, docs, keys = _asked(piece, n)
@@ -153,19 +121,11 @@ def _ask(depth: int, n: int):
                          piece.ids[docs[d[s] : d[s + 1]]].astype("<i8").tobytes())
                         for s in range(n) if w[s] < w[s + 1] or d[s] < d[s + 1]]
                 if rows:
-                    yield _rows(rows)
+                    yield message(rows)
 
     return run
 
 
-def _bits(flags: np.ndarray) -> bytes:
-    return np.packbits(flags).tobytes()
-
-
-def _unbits(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
-
-
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What one task was asked -> per piece: which windows another piece has, which documents have an earlier copy."""
     names, low, keys, ids = [], [], [], []
@@ -195,32 +155,17 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if len(keys):
         copy[order] = ids[order] > np.repeat(ids[order][first], np.diff(np.append(np.flatnonzero(first), len(keys))))
     for (name, seat), end, w, copy_end, d in zip(names, ends, np.diff(ends, prepend=0), copy_ends, np.diff(copy_ends, prepend=0)):
-        yield _rows([(name, 1, seat, _bits(again[end - w : end]), _bits(copy[copy_end - d : copy_end]), b"")])
-
-
-def _with_replies(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, list[tuple]]]:
-    """Rows in order of piece and kind -> (name, the piece's three cells, its replies)."""
-    now, cells, replies = None, None, []
-    for batch in batches:
-        for name, kind, *row in zip(*(c.to_pylist() for c in batch.columns)):
-            if kind == 0:
-                if cells:
-                    yield now, cells, replies
-                now, cells, replies = name, row[1:], []
-            else:
-                replies.append((kind, *row))
-    if cells:
-        yield now, cells, replies
+        yield message([(name, 1, seat, bits(again[end - w : end]), bits(copy[copy_end - d : copy_end]), b"")])
 
 
 def _copies(piece: Piece, replies: list[tuple], n: int) -> np.ndarray:
     """Flags of the documents that have an earlier copy."""
     docs_of = _asked(piece, n)
     copy = np.zeros(len(piece.ids), bool)
-    for kind, seat, _, bits, _ in replies:
+    for kind, seat, _, flags, _ in replies:
         if kind == 1:
             docs = docs_of[2][docs_of[1][seat] : docs_of[1][seat + 1]]
-            copy[docs] = _unbits(bits, len(docs))
+            copy[docs] = unbits(flags, len(docs))
     return copy
 
 
@@ -230,15 +175,15 @@ def _suffixes(depth: int, n: int, lengths_of):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longer = lengths_of.value  # per length and class: is the prefix too frequent for a group?
         shift = np.uint64(64 - CLASSES.bit_length() + 1)
-        for name, cells, replies in _with_replies(batches):
-            piece = _open(*cells, depth)
+        for name, cells, replies in with_replies(batches):
+            piece = Piece(*unpacked(*cells), depth)
             piece.windows()
             borders = _asked(piece, n)[0]
             again = np.zeros(len(piece.distinct), bool)
-            for kind, seat, bits, _, _ in replies:
+            for kind, seat, flags, _, _ in replies:
                 if kind == 1:
                     part = slice(borders[seat], borders[seat + 1])
-                    again[part] = _unbits(bits, borders[seat + 1] - borders[seat])
+                    again[part] = unbits(flags, borders[seat + 1] - borders[seat])
             own = ~_copies(piece, replies, n)[piece.doc]  # a copy's windows are its first one's
             mine = np.zeros(len(piece.distinct), bool)
             mine[piece.number[own]] = True
@@ -256,15 +201,15 @@ def _suffixes(depth: int, n: int, lengths_of):
                 group[ends] = wordhash.mix((value if last else bucket * np.uint64(16) + np.uint64(level))[ends])
                 open_ &= ~ends
             symbols = np.stack([(piece.hashes[piece.at[example] + k] >> np.uint64(48)).astype(">u2") for k in range(depth)], axis=1)
-            to = _seat(group, n)
+            to = seat_of(group, n)
             order = np.lexsort((*(symbols[:, k] for k in range(3, -1, -1)), to))
             cuts = np.searchsorted(to[order], np.arange(n + 1))
             rows = []
             for s in np.flatnonzero(np.diff(cuts)).tolist():
                 part = order[cuts[s] : cuts[s + 1]]
-                rows.append((name, 2, s, _planes(symbols[part]), _planes(piece.distinct[chosen[part]].astype("<u8")),
-                             _planes(piece.least[chosen[part]].astype("<i8"))))
-            yield _rows(rows)
+                rows.append((name, 2, s, planes(symbols[part]), planes(piece.distinct[chosen[part]].astype("<u8")),
+                             planes(piece.least[chosen[part]].astype("<i8"))))
+            yield message(rows)
 
     return run
 
@@ -291,8 +236,8 @@ def _trees(depth: int):
             for name, a, b, c in zip(*(batch.column(k).to_pylist() for k in (0, 3, 4, 5))):
                 flat = np.frombuffer(a, np.uint8).reshape(2 * depth, -1)
                 symbols.append(np.ascontiguousarray(flat.T).view(">u2").astype(np.uint16))
-                whole.append(_unplanes(b, "<u8"))
-                least.append(_unplanes(c, "<i8"))
+                whole.append(unplanes(b, "<u8"))
+                least.append(unplanes(c, "<i8"))
                 names.append(name)
         if not names:
             return
@@ -308,7 +253,7 @@ def _trees(depth: int):
             part = slice(end, end + size)
             end += size
             if smaller[part].any():
-                yield _rows([(name, 2, 0, whole[part][smaller[part]].astype("<u8").tobytes(), b"", b"")])
+                yield message([(name, 2, 0, whole[part][smaller[part]].astype("<u8").tobytes(), b"", b"")])
 
     return run
 
@@ -336,8 +281,8 @@ def _kept(depth: int, n: int):
     """Pieces with all replies -> documents without the words of covered windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, cells, replies in _with_replies(batches):
-            piece = _open(*cells, depth)
+        for _, cells, replies in with_replies(batches):
+            piece = Piece(*unpacked(*cells), depth)
             piece.windows()
             covered = piece.ids[piece.doc] > piece.least[piece.number] if len(piece.at) else np.zeros(0, bool)
             outside = [np.frombuffer(a, "<u8") for kind, _, a, _, _ in replies if kind == 2]
@@ -387,10 +332,7 @@ def without_repeats(docs: DataFrame, depth: int = 13) -> DataFrame:
     asked = pieces.mapInArrow(_ask(depth, n), MESSAGE).repartitionById(n, F.col("seat"))
     answers = common.stage(asked.mapInArrow(_answer, MESSAGE), "answers")
 
-    def beside(replies: DataFrame) -> DataFrame:
-        return pieces.unionByName(replies).repartition("piece").sortWithinPartitions("piece", "kind", "seat")
-
-    sent = beside(answers).mapInArrow(_suffixes(depth, n, longer), MESSAGE).repartitionById(n, F.col("seat"))
+    sent = beside(pieces, answers).mapInArrow(_suffixes(depth, n, longer), MESSAGE).repartitionById(n, F.col("seat"))
     found = common.stage(sent.mapInArrow(_trees(depth), MESSAGE), "covered")
     copies = answers.withColumn("a", F.lit(b""))
-    return beside(copies.unionByName(found)).mapInArrow(_kept(depth, n), "doc_id long, n_words long, n_removed long, kept string")
+    return beside(pieces, copies.unionByName(found)).mapInArrow(_kept(depth, n), "doc_id long, n_words long, n_removed long, kept string")

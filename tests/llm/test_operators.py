@@ -544,3 +544,26 @@ def test_search_alone(percent):
             if 100 * both >= percent * (len(a) + len(sets[j]) - both):
                 want.join(keys[i], keys[j])
     assert [got.root(k) for k in keys] == [want.root(k) for k in keys]
+
+
+def test_search_of_linked_near_copies_is_not_quadratic_in_python():
+    import time
+
+    r = np.random.default_rng(4)
+    base = r.integers(0, 1 << 60, 100).astype(np.uint64)
+    sets = []
+    for _ in range(1200):
+        own = base.copy()
+        own[r.integers(0, 100, 5)] = r.integers(0, 1 << 60, 5)
+        sets.append(np.unique(own))
+    start = time.perf_counter()
+    edges = jaccard.search(list(range(1200)), sets, [0] * 1200, 80, False)
+    assert time.perf_counter() - start < 2 and {v for _, v in edges} == {0} and len(edges) == 1200
+
+
+def test_answers_count_pieces_and_windows_of_one_piece_drop_out(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(k, text + f" x{k}") for k in range(40)] + [(50 + k, " ".join(f"u{k}_{j}" for j in range(30))) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(docs).collect()}
+    assert got == {d: 0 if d < 50 else d for d, _ in rows}
