@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import ordered
 
@@ -34,31 +34,98 @@ _TRANSITION = T.StructType([
     T.StructField("index_id", T.LongType()), T.StructField("ts", T.TimestampType()), T.StructField("seq", T.LongType()),
     T.StructField("state", T.StringType()), T.StructField("previous", T.StringType()),
 ])
+_ROWS = T.StructType([T.StructField("micros", T.LongType()), T.StructField("seq", T.LongType()), T.StructField("state", T.StringType())])
 
 
-def _changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State changes of one index; the last state is all that is kept between batches."""
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "seq"], ignore_index=True)
-    before = rows["state"].shift(1)
-    before.iloc[0] = state.get[0] if state.exists else None
-    state.update((rows["state"].iloc[-1],))
-    rows["previous"] = before
-    changed = rows.loc[rows["state"] != before, ["index_id", "ts", "seq", "state", "previous"]]
-    if len(changed):
-        yield changed
+class InOrder(StatefulProcessor):
+    """Holds the rows of an index until the watermark has passed them, then hands them on in order of (ts, seq).
+
+    Rows may come in any order within the watermark's delay, over any number of batches. Pending rows are a list state, to
+    which a batch only appends; one timer per index, at its earliest pending row, releases them.
+    """
+
+    KEPT: T.StructType
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getListState("pending", _ROWS)
+        self.kept = handle.getValueState("kept", self.KEPT)
+
+    def deadline(self) -> int | None:
+        """A further time, in microseconds, at which the index has to be looked at."""
+        return None
+
+    def ordered(self, key: tuple, rows: list[tuple], passed: int) -> pd.DataFrame:
+        """What follows from released rows (micros, seq, state); the watermark is at ``passed`` microseconds."""
+        raise NotImplementedError
+
+    def _arm(self, earliest: int | None) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        due = [t for t in (earliest, self.deadline()) if t is not None]
+        if due:
+            self.handle.registerTimer(-(-min(due) // 1000))  # milliseconds, not before the row
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        new = [(int(t.value // 1000), int(q), s) for b in rows for t, q, s in zip(b["ts"], b["seq"], b["state"])]
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        new = [r for r in new if r[0] > passed]  # later rows have been released already
+        if new:
+            armed = list(self.handle.listTimers())
+            self.pending.appendList(new)
+            earliest = min(r[0] for r in new)
+            if not armed or min(armed) * 1000 > earliest:
+                self._arm(earliest)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((tuple(r) for r in self.pending.get()), key=lambda r: r[:2])
+        ready, later = [r for r in rows if r[0] <= passed], [r for r in rows if r[0] > passed]
+        if later:
+            self.pending.put(later)
+        else:
+            self.pending.clear()
+        out = self.ordered(key, ready, passed)
+        self._arm(later[0][0] if later else None)
+        if len(out):
+            yield out
+
+    def close(self) -> None:
+        pass
+
+
+class _Changes(InOrder):
+    KEPT = T.StructType([T.StructField("state", T.StringType())])
+
+    def ordered(self, key, rows, passed):
+        before = self.kept.get()[0] if self.kept.exists() else None
+        first = not self.kept.exists()
+        out = []
+        for micros, seq, state in rows:
+            if first or state != before:
+                out.append((key[0], pd.Timestamp(micros, unit="us"), seq, state, before))
+            before, first = state, False
+        if rows:
+            self.kept.update((before,))
+        return pd.DataFrame(out, columns=_TRANSITION.names)
 
 
-def status_transitions(status: DataFrame) -> DataFrame:
-    """Every change of state at once, without waiting for the second to end (streams only).
+def _in_order(status: DataFrame, watermark: str, processor: InOrder, schema: T.StructType) -> DataFrame:
+    """Streams with list state and timers need the RocksDB store, which is a setting of the session."""
+    status.sparkSession.conf.set(
+        "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = status.withWatermark("ts", watermark).select("index_id", "ts", "seq", "state")
+    return rows.groupBy("index_id").transformWithStateInPandas(processor, schema, "append", "eventTime")
 
-    A group in one batch is the rows of one index the source admitted to it (``maxFilesPerTrigger``), so the
-    admission limit bounds what a busy index brings to one task; the table form below has no such group at all.
+
+def status_transitions(status: DataFrame, watermark: str = WATERMARK) -> DataFrame:
+    """Every change of state, in order of time however rows arrive (streams only).
+
+    A change is told once the watermark has passed it; rows later than that are dropped. What is held for an index are the
+    rows of the watermark's delay, not those of its history. The table form below has no group per index at all.
     """
-    return (
-        status.select("index_id", "ts", "seq", "state").groupBy("index_id")
-        .applyInPandasWithState(_changes, _TRANSITION, T.StructType([T.StructField("state", T.StringType())]), "append",
-                                GroupStateTimeout.NoTimeout)
-    )
+    return _in_order(status, watermark, _Changes(), _TRANSITION)
 
 
 def status_transitions_batch(status: DataFrame, width: float = 86400.0) -> DataFrame:
@@ -75,43 +142,38 @@ _ALERT = T.StructType([
 ])
 
 
+class _Pauses(InOrder):
+    KEPT = T.StructType([T.StructField("micros", T.LongType()), T.StructField("told", T.BooleanType())])
+
+    def __init__(self, gap: int) -> None:
+        self.gap = gap
+
+    def deadline(self):
+        last, told = self.kept.get() if self.kept.exists() else (None, True)
+        return None if told else last + self.gap
+
+    def ordered(self, key, rows, passed):
+        last, told = self.kept.get() if self.kept.exists() else (None, False)
+        pauses = []
+        for micros, _, _ in rows:
+            if last is not None and micros - last >= self.gap and not told:
+                pauses.append(last)
+            last, told = micros, False
+        if last is not None and last + self.gap <= passed and not told:
+            pauses.append(last)
+            told = True
+        if last is not None:
+            self.kept.update((last, told))
+        return pd.DataFrame([(key[0], pd.Timestamp(t, unit="us"), pd.Timestamp(t + self.gap, unit="us")) for t in pauses], columns=_ALERT.names)
+
+
 def stall_alerts(status: DataFrame, gap_seconds: float = 15.0, watermark: str = WATERMARK) -> DataFrame:
     """One alert per pause of at least ``gap_seconds`` in a stream of status rows.
 
-    The state is the time of the newest row. A pause shows either when the next row arrives or, when none does,
-    when event time passes the deadline.
+    Rows are taken in order of time however they arrive. A pause shows either when the next row is released or, when none
+    comes, when the watermark passes the deadline.
     """
-    gap = pd.Timedelta(seconds=gap_seconds)
-
-    def watch(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        alerts = []
-        if state.hasTimedOut:
-            last = pd.Timestamp(state.get[0], unit="us")
-            if not state.get[1]:
-                alerts.append((key[0], last, last + gap))
-            state.update((state.get[0], True))
-        else:
-            times = sorted(t for b in batches for t in b["ts"])
-            newest, told = (pd.Timestamp(state.get[0], unit="us"), state.get[1]) if state.exists else (None, False)
-            for t in times:
-                if newest is not None and t - newest >= gap and not told:
-                    alerts.append((key[0], newest, newest + gap))
-                if newest is None or t > newest:
-                    newest, told = t, False
-            state.update((newest.value // 1000, told))
-            deadline = (newest + gap).value // 1_000_000
-            if not told and deadline > state.getCurrentWatermarkMs():
-                state.setTimeoutTimestamp(deadline)
-            elif not told:
-                state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + 1)
-        if alerts:
-            yield pd.DataFrame(alerts, columns=_ALERT.names)
-
-    kept = T.StructType([T.StructField("micros", T.LongType()), T.StructField("told", T.BooleanType())])
-    return (
-        status.withWatermark("ts", watermark).select("index_id", "ts").groupBy("index_id")
-        .applyInPandasWithState(watch, _ALERT, kept, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    return _in_order(status, watermark, _Pauses(round(gap_seconds * 1_000_000)), _ALERT)
 
 
 def stall_alerts_batch(status: DataFrame, gap_seconds: float = 15.0, width: float = 86400.0) -> DataFrame:
