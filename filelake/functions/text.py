@@ -64,9 +64,9 @@ def split_query(q: Column | str) -> Column:
     return F.filter(F.flatten(F.transform(pieces, piece)), lambda p: p["text"].rlike(r"[\p{L}\p{Nd}]"))
 
 
-def is_binary(raw: Column | str) -> Column:
-    """A NUL byte in the first 8 KiB."""
-    head = F.hex(F.substring(_col(raw), 1, fixed.BINARY_SNIFF_BYTES))
+def is_binary(raw: Column | str, sniff: int | None = fixed.BINARY_SNIFF_BYTES) -> Column:
+    """A NUL byte in the first ``sniff`` bytes (None: anywhere)."""
+    head = F.hex(_col(raw) if sniff is None else F.substring(_col(raw), 1, sniff))
     return head.rlike("^(..)*?00")
 
 

@@ -221,8 +221,9 @@ def column_filters() -> Column:
 
 # --- validation -------------------------------------------------------------------------------------------
 
-def validate_filters(requests: DataFrame, catalog: DataFrame) -> DataFrame:
-    """The first invalid metadata filter of each request as ``(request_id, error_code, message)``."""
+def validate_filters(requests: DataFrame, catalog: DataFrame, max_filters: int | None = None) -> DataFrame:
+    """The first invalid metadata filter of each request as ``(request_id, error_code, message)``; ``max_filters``, if given,
+    refuses requests with more."""
     kind = F.col("type")
     numeric = kind.isin(*NUMERIC_TYPES)
     number = values.parse_numeric_value("value", "type")
@@ -238,12 +239,13 @@ def validate_filters(requests: DataFrame, catalog: DataFrame) -> DataFrame:
         .withColumn("message", problem).where("message IS NOT NULL")
         .groupBy("request_id").agg(F.min_by("message", "fno").alias("message"))
     )
-    too_many = requests.where(F.size("meta") > fixed.MAX_META_FILTERS).select(
-        "request_id", F.lit(f"at most {fixed.MAX_META_FILTERS} metadata filters per search").alias("message")
-    )
+    if max_filters is not None:
+        too_many = requests.where(F.size("meta") > max_filters).select(
+            "request_id", F.lit(f"at most {max_filters} metadata filters per search").alias("message")
+        )
+        checked = too_many.unionByName(checked.join(too_many, "request_id", "left_anti"))
     return (
-        too_many.unionByName(checked.join(too_many, "request_id", "left_anti"))
-        .select("request_id", F.lit("BAD_REQUEST").alias("error_code"), "message")
+        checked.select("request_id", F.lit("BAD_REQUEST").alias("error_code"), "message")
     )
 
 
@@ -265,7 +267,7 @@ def has_filter() -> Column:
     )
 
 
-def validate_requests(requests: DataFrame, max_window: int | None = fixed.MAX_WINDOW) -> DataFrame:
+def validate_requests(requests: DataFrame, max_window: int | None = None) -> DataFrame:
     """Requests that cannot run: bad mode or sort, nothing to search for, or a page beyond the window (None: no window)."""
     from ..functions.text import split_query
 

@@ -219,9 +219,9 @@ def fresh_boundaries(marks: DataFrame) -> DataFrame:
     return marks.withColumn("fresh", (F.col("m") == 0) | F.coalesce(later, F.lit(False)))
 
 
-def sparse_keyframes(plans: DataFrame, keyframes: DataFrame) -> DataFrame:
-    """``(path, sparse)``: among the first boundaries one has no keyframe or the same as the one before."""
-    few = plans.withColumn("segment_count", F.least("segment_count", F.lit(fixed.SPARSE_SAMPLES + 1)))
+def sparse_keyframes(plans: DataFrame, keyframes: DataFrame, samples: int | None = fixed.SPARSE_SAMPLES) -> DataFrame:
+    """``(path, sparse)``: among the first ``samples`` inner boundaries (None: all) one has no keyframe or that of the one before."""
+    few = plans if samples is None else plans.withColumn("segment_count", F.least("segment_count", F.lit(samples + 1)))
     marks = fresh_boundaries(boundary_keyframes(few, keyframes))
     bad = F.col("pts").isNull() | ~F.col("fresh")
     return marks.groupBy("path").agg(F.bool_or(bad).alias("sparse"))

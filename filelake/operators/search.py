@@ -366,12 +366,12 @@ def add_snippets(page: DataFrame, requests: DataFrame, content: DataFrame) -> Da
 
 # --- the whole search -------------------------------------------------------------------------------------
 
-def valid_requests(requests: DataFrame, tables: SearchTables,
-                   max_window: int | None = fixed.MAX_WINDOW) -> tuple[DataFrame, DataFrame]:
+def valid_requests(requests: DataFrame, tables: SearchTables, max_window: int | None = None,
+                   max_filters: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Requests that can run, with defaults filled in, and one error row for each of the others."""
     bad = filters.validate_requests(requests, max_window)
     bad = bad.unionByName(
-        filters.validate_filters(requests, tables.fields).join(bad, "request_id", "left_anti")
+        filters.validate_filters(requests, tables.fields, max_filters).join(bad, "request_id", "left_anti")
     )
     has_text = F.size(text.split_query("q")) > 0
     given = F.coalesce(F.nullif("sort", F.lit("")), F.lit("relevance"))
@@ -401,13 +401,13 @@ def all_hits(good: DataFrame, tables: SearchTables) -> DataFrame:
 
 
 def search(requests: DataFrame, tables: SearchTables, roots: list[str] | DataFrame | None = None,
-           with_snippets: bool = True, max_window: int | None = fixed.MAX_WINDOW) -> SearchResult:
+           with_snippets: bool = True, max_window: int | None = None, max_filters: int | None = None) -> SearchResult:
     """Run a table of requests. ``roots`` confines all answers to some directories (none given: everything);
-    ``max_window`` None allows pages of any length."""
+    ``max_window`` and ``max_filters``, if given, refuse later pages and requests of more metadata filters."""
     if roots is not None:
         confined = filters.in_scope(tables.files, roots)
         tables = SearchTables(confined, tables.file_meta, tables.content, tables.index, tables.fields)
-    good, errors = valid_requests(requests, tables, max_window)
+    good, errors = valid_requests(requests, tables, max_window, max_filters)
     good = staged(good, "requests")
     hits = staged(all_hits(good, tables), "hits")
     totals = good.select("request_id").join(count_matches(hits), "request_id", "left").select(

@@ -208,7 +208,7 @@ def validate_filters(spark, sf_dir):
     )
     r = filter_requests(spark, sf_dir).drop("meta")
     s = views.table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), k.cast("string")).alias("request_id"), meta.alias("meta"))
-    return filters.validate_filters(r.join(s, "request_id"), field_ops.field_catalog(spark, views.FIELD_TYPES))
+    return filters.validate_filters(r.join(s, "request_id"), field_ops.field_catalog(spark, views.FIELD_TYPES), max_filters=16)
 
 
 @query("""SELECT * FROM (SELECT 'c' || CAST(k AS VARCHAR) AS request_id, 'BAD_REQUEST' AS error_code,
@@ -228,7 +228,7 @@ def validate_requests(spark, sf_dir):
         F.when(k % 5 == 2, F.lit("colour")).otherwise(F.lit("")).alias("sort"),
         F.when(k % 5 == 3, F.lit("up")).otherwise(F.lit("desc")).alias("dir"),
         (k % 2000).alias("limit"), (k * 10).alias("offset"))
-    return filters.validate_requests(c)
+    return filters.validate_requests(c, max_window=10_000)
 
 
 @query(with_views("files") + """SELECT name, path, CASE WHEN ext = 'zip' THEN 'archive' ELSE 'file' END AS type, size, mtime,

@@ -67,7 +67,9 @@ def test_fallback_filters_and_merge(spark, corpus):
         dict(request_id="mid", q="scape", mode="name"), dict(request_id="short", q="sc", mode="name"), dict(request_id="merged", q="report"),
         dict(request_id="plain", exts=[".LOG"], sort="size", dir="desc"), dict(request_id="scoped", q="report", path="/x"), dict(request_id="bad", q="**"),
         dict(request_id="deep", q="a", limit=1000, offset=9001), dict(request_id="key", q="a", meta=[("nope.x", "=", "1")])])
-    result = search.search(r, corpus, roots=["/"])
+    many = [("size", ">=", "0")] * 17
+    assert search.search(requests(spark, [dict(request_id="deep", q="a", limit=1000, offset=9001, meta=many)]), corpus).errors.count() == 0
+    result = search.search(r, corpus, roots=["/"], max_window=10_000)
     hits = {}
     for x in result.hits.orderBy("request_id", "rank").collect():
         hits.setdefault(x["request_id"], []).append((x["path"], x["matched_in"]))

@@ -44,14 +44,14 @@ def test_nesting_stops_at_the_limit(spark):
     for i in range(3):
         inner = archives.pack([(f"l{i}.zip", inner)], "tar.gz" if i == 2 else "zip")
     df = spark.createDataFrame([("/n.tar.gz", bytearray(inner))], "path string, bytes binary")
-    out = {(r["archive_path"], r["raw"], r["depth"]) for r in archives.expand_nested(df).collect()}
+    out = {(r["archive_path"], r["raw"], r["depth"]) for r in archives.expand_nested(df, max_depth=3).collect()}
     assert out == {("/n.tar.gz", "l2.zip", 1), ("/n.tar.gz!/l2.zip", "l1.zip", 2), ("/n.tar.gz!/l2.zip!/l1.zip", "l0.zip", 3)}
 
 
 def test_no_limits_unless_asked_for(spark):
     import inspect
 
-    for of, names in ((archives.read_archives, ["max_entries"]), (archives.read_members, ["cap"]), (archives.expand_nested, ["max_entries", "layer_cap"])):
+    for of, names in ((archives.read_archives, ["max_entries"]), (archives.read_members, ["cap"]), (archives.expand_nested, ["max_entries", "layer_cap", "max_depth"])):
         assert all(inspect.signature(of).parameters[n].default is None for n in names)
     many = 250_003
     inner = archives.pack([("deep.txt", b"x")], "zip")
