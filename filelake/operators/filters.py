@@ -139,64 +139,6 @@ def exploded_filters(requests: DataFrame) -> DataFrame:
     )
 
 
-def filter_matches(filters: DataFrame, file_meta: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Files with a value that matches each distinct embedded filter: ``key, op, value, path``.
-
-    Equal filters of many requests are evaluated once. For ``!=`` the matches of ``=`` are returned, which the
-    caller excludes.
-    """
-    wanted = (
-        filters.where(F.col("key").contains("."))
-        .select("key", "op", F.col("value").alias("wanted")).distinct()
-        .join(catalog.select("key", F.col("type").alias("kind")), "key")
-        .withColumn("wanted_num", F.when(F.col("kind").isin(*NUMERIC_TYPES), values.parse_numeric_value("wanted", "kind")))
-        .withColumn(
-            "wanted_text",
-            F.when((F.col("kind") == "bool") & (F.lower("wanted") == "true"), F.lit("yes"))
-            .when((F.col("kind") == "bool") & (F.lower("wanted") == "false"), F.lit("no"))
-            .otherwise(F.lower("wanted")),
-        )
-    )
-    op = F.when(F.col("op") == "!=", F.lit("=")).otherwise(F.col("op"))
-    text = F.lower("m.value")
-    hit = (
-        F.when(F.col("op") == "~", text.contains(F.col("wanted_text")))
-        .when(F.col("kind").isin(*NUMERIC_TYPES), compare(F.col("m.num"), op, F.col("wanted_num")))
-        .otherwise(text == F.col("wanted_text"))
-    )
-    return (
-        file_meta.alias("m").join(wanted.alias("w"), (F.col("m.key") == F.col("w.key")) & hit)
-        .select("w.key", "w.op", F.col("wanted").alias("value"), "m.path").distinct()
-    )
-
-
-def apply_meta_filters(requests: DataFrame, candidates: DataFrame, file_meta: DataFrame,
-                       catalog: DataFrame) -> DataFrame:
-    """Keep candidate ``(request_id, path, ...)`` rows that satisfy all embedded-metadata filters of their request.
-
-    Needs are counted per request, satisfied and violated filters per candidate; requests without filters pass
-    untouched and never meet the metadata table.
-    """
-    filters = exploded_filters(requests).where(F.col("key").contains("."))
-    needs = filters.groupBy("request_id").agg(F.sum((F.col("op") != "!=").cast("long")).alias("_need"))
-    hits = (
-        filters.join(filter_matches(filters, file_meta, catalog), ["key", "op", "value"])
-        .select("request_id", "path", "fno", (F.col("op") == "!=").alias("_neg"))
-    )
-    found = hits.groupBy("request_id", "path").agg(
-        F.count_distinct(F.when(~F.col("_neg"), F.col("fno"))).alias("_have"),
-        F.max(F.col("_neg")).alias("_violated"),
-    )
-    return (
-        candidates.join(needs, "request_id", "left").join(found, ["request_id", "path"], "left")
-        .where(
-            F.col("_need").isNull()
-            | (~F.coalesce("_violated", F.lit(False)) & (F.coalesce("_have", F.lit(0)) == F.col("_need")))
-        )
-        .drop("_need", "_have", "_violated")
-    )
-
-
 def column_filters() -> Column:
     """All column conditions of a request joined to a catalogue row (request columns carry the prefix ``r_``)."""
     scope = F.rtrim("r_path", F.lit("/"))

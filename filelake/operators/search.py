@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, paths, snippets, text
 from ..session import staged
-from . import filters
+from . import filters, meta_filters
 from .textindex import BODIES, NAMES, TextIndex, term_head
 
 FIELD_WEIGHTS = {"name": fixed.NAME_WEIGHT, "dir": fixed.DIR_WEIGHT, "body": 1.0}
@@ -173,7 +173,7 @@ def _described(requests: DataFrame, found: DataFrame, tables: SearchTables) -> D
 
 
 def _meta_filtered(requests: DataFrame, hits: DataFrame, tables: SearchTables) -> DataFrame:
-    return filters.apply_meta_filters(requests, hits, tables.file_meta, tables.fields).select(*HIT_COLUMNS)
+    return meta_filters.apply_meta_filters(requests, hits, tables.file_meta, tables.fields).select(*HIT_COLUMNS)
 
 
 def _text_rows(requests: DataFrame, tables: SearchTables) -> DataFrame:
@@ -236,12 +236,13 @@ def _plain_rows(requests: DataFrame, tables: SearchTables) -> DataFrame:
         "*", F.when(scope == "", F.lit("/")).otherwise(scope).alias("scope"),
         F.explode(F.when(no_ext, F.array(any_ext)).otherwise(F.array_distinct(exts))).alias("ext_key"),
     )
-    spread = (
-        tables.files.select(*ENTRY_COLUMNS, F.explode_outer(paths.ancestors("dir")).alias("scope"))
-        .select("*", F.explode(F.array(any_ext, F.col("ext"))).alias("ext_key"))
-    )
+    files = tables.files.select(*ENTRY_COLUMNS).withColumn("_ext", F.coalesce("ext", F.lit("")))
+    folders = files.select("dir", "_ext").distinct()
+    spread = folders.select("dir", "_ext", F.explode_outer(paths.ancestors("dir")).alias("scope")).select(
+        "*", F.explode(F.array(any_ext, F.col("_ext"))).alias("ext_key"))
+    asked = spread.join(keyed, ["scope", "ext_key"]).drop("scope", "ext_key")
     return (
-        spread.join(keyed, ["scope", "ext_key"]).where(filters.column_filters())
+        files.join(asked, ["dir", "_ext"]).where(filters.column_filters())
         .withColumns({"score": F.lit(0.0), "matched_in": F.lit("name"), "fallback": F.lit(False)}).select(*HIT_COLUMNS)
     )
 
@@ -249,9 +250,9 @@ def _plain_rows(requests: DataFrame, tables: SearchTables) -> DataFrame:
 def filter_only(requests: DataFrame, tables: SearchTables) -> DataFrame:
     """All files that pass the filters of requests without search text, scored 0.
 
-    Requests and files meet on equal (scope, extension): a request has one scope and one row per extension
-    (``*`` for any), a file has its directory's ancestors and its extension or ``*``. Ranges are tested on the
-    joined rows.
+    Requests meet the distinct (directory, extension) pairs, which are far fewer than files, on equal (scope, extension): a
+    request has one scope and one row per extension (``*`` for any), a directory has its ancestors. Files then find the
+    requests of their own directory and extension; ranges are tested on the joined rows.
     """
     return _meta_filtered(requests, _plain_rows(requests, tables), tables)
 
