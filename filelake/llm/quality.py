@@ -204,13 +204,19 @@ def _prune(rows: DataFrame, rule: Rule) -> tuple[Rule, int, int]:
     return prefixes[-k], p, n
 
 
-def learn(stats: DataFrame, labels: DataFrame) -> list[Rule]:
-    """The decision list of rejecting rules, from staged statistics and ``labels`` (doc_id, quality 0 or 1)."""
+def marks_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, bad) of ``labels`` (doc_id, quality 0 or 1), thinned to about ``MOST_LABELLED`` documents."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") == 0).cast("int").alias("bad"))
     n = marks.count()
     if n > MOST_LABELLED:
         marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(n)) < MOST_LABELLED)
+    return marks
+
+
+def learn(stats: DataFrame, labels: DataFrame) -> list[Rule]:
+    """The decision list of rejecting rules, from staged statistics and ``labels`` (doc_id, quality 0 or 1)."""
+    marks = marks_of(labels)
     usable = stats.where(~base_failed()).select("doc_id", *FEATURES)
     rows = common.stage(usable.join(marks, "doc_id").withColumn(
         "fold", F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(3))), "labelled")
@@ -256,7 +262,10 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, that pass the base rules and the list."""
-    rules = learn(common.stage(statistics(docs), "statistics"), labels)
+    # the list is learned from labelled documents only; their ids, 8 bytes each, are bounded by MOST_LABELLED
+    ids = common.stage(marks_of(labels).select("doc_id").distinct(), "labelled_ids")
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id", "left_semi")
+    rules = learn(common.stage(statistics(labelled), "statistics"), labels)
 
     def good(s: Column) -> Column:
         return ~base_failed(s.getField) & verdict(rules, s.getField)
