@@ -178,26 +178,48 @@ def test_packing(spark, corpus, rows, ids):
     assert len(sequences) <= 1 + 1.02 * sum(lengths.values()) / 1024
 
 
-def test_repeated_rows_are_dealt_to_many_groups(spark):
+def plain_best_fit(lengths, capacity):
+    """How full each bin is after best fit decreasing, piece by piece."""
+    left: list[int] = []
+    for n in sorted(lengths, reverse=True):
+        fits = [(x, k) for k, x in enumerate(left) if x >= n]
+        if not fits:
+            left.append(capacity)
+            fits = [(capacity, len(left) - 1)]
+        left[min(fits)[1]] -= n
+    return sorted(left)
+
+
+def test_packing_makes_the_sequences_of_one_best_fit(spark, corpus):
+    out = QUERIES["op8_best_fit_packing"](spark, corpus).select("sequence_id", "length").collect()
+    used = Counter()
+    for r in out:
+        used[r.sequence_id] += r.length
+    assert sorted(1024 - n for n in used.values()) == plain_best_fit([r.length for r in out], 1024)
+
+
+def test_repeated_rows_have_ranks_of_their_own(spark):
     docs = spark.range(200).selectExpr("7L as doc_id", "'one text for all' as text")
     made = packing.pieces(docs, encoding.default_tokenizer())
-    assert made.count() == 200 and made.select("shuffled_").distinct().count() == 200
+    assert made.count() == 200 and made.select("task_", "length", "rank_").distinct().count() == 200
 
 
-def test_best_fit_takes_the_tightest_bin():
-    r = random.Random(2)
-    lengths = np.array([r.randint(0, 100) for _ in range(400)])
-    bins, offsets = packing.best_fit_decreasing(lengths, 100)
-    left: list[int] = []
-    for at in np.argsort(-lengths, kind="stable"):
-        fits = [(x, k) for k, x in enumerate(left) if x >= lengths[at]]
-        if not fits:
-            left.append(100)
-            fits = [(100, len(left) - 1)]
-        x, _ = min(fits)
-        assert 100 - offsets[at] == x
-        left[bins[at]] -= lengths[at]
-    assert len(left) == bins.max() + 1
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_takes_the_tightest_bin(seed):
+    r = random.Random(seed)
+    lengths = [min(100, 1 + int(r.expovariate(1 / (5 + 12 * seed)))) for _ in range(700)] + [33] * 90
+    counts = Counter(lengths)
+    bins: dict[int, list] = defaultdict(list)
+    runs = packing.best_fit_runs(counts, 100)
+    for at, (length, rank, each, first, offset) in enumerate(runs.tolist()):
+        to = runs[at + 1, 1] if at + 1 < len(runs) and runs[at + 1, 0] == length else counts[length]
+        for k in range(int(to) - rank):
+            bins[first + k // each].append((offset + k % each * length, length))
+    assert Counter(n for b in bins.values() for _, n in b) == counts
+    for b in bins.values():
+        ends = [x + n for x, n in sorted(b)]
+        assert [x for x, _ in sorted(b)] == [0, *ends[:-1]] and ends[-1] <= 100
+    assert sorted(100 - sum(n for _, n in b) for b in bins.values()) == plain_best_fit(lengths, 100)
 
 
 # 4 ---------------------------------------------------------------------------------------------------------------
