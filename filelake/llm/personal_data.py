@@ -273,16 +273,31 @@ def score(c: Column, weights: dict[int, list[float]]) -> Column:
 
 
 def spans(cs: Column, weights: dict[int, list[float]]) -> Column:
-    """The kept candidates: base ones, and sure ones of the classifier that overlap none of them."""
-    def keep(all_of: Column) -> Column:
-        def free(c: Column) -> Column:
-            return ~F.exists(all_of, lambda b: b["base"] & (b["start"] < c["end"]) & (c["start"] < b["end"]))
+    """The kept candidates: base ones, and sure ones of the classifier that overlap none of them. Sure ones of different
+    kinds may overlap each other.
 
-        return F.filter(all_of, lambda c: c["base"] | (c["loose"] & (score(c, weights) >= SURE) & free(c)))
+    In order of place a candidate overlaps a base span if one that comes before it ends beyond its start, or one that
+    comes after it starts before its end; running maxima from both sides decide that in one pass.
+    """
+    fields = ("start", "end", "kind", "match", "before", "base", "loose")
+    high = F.lit(2**31 - 1)
+
+    def keep(found: Column) -> Column:
+        ends = _running(F.transform(found, lambda c: F.when(c["base"], c["end"]).otherwise(0)), F.greatest)
+        starts = _running(F.reverse(F.transform(found, lambda c: F.when(c["base"], high - c["start"]).otherwise(0))), F.greatest)
+
+        def free(sides: Column) -> Column:
+            def kept(c: Column, i: Column) -> Column:
+                apart = (F.get(sides["ends"], i) <= c["start"]) & (high - F.get(sides["starts"], F.size(found) - 1 - i) >= c["end"])
+                return c["base"] | (c["loose"] & (score(c, weights) >= SURE) & apart)
+
+            return F.filter(found, kept)
+
+        return common.let(F.struct(ends.alias("ends"), starts.alias("starts")), free)
 
-    return common.let(F.sort_array(F.transform(cs, lambda c: F.struct(
-        c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["match"].alias("match"), c["before"].alias("before"),
-        c["base"].alias("base"), c["loose"].alias("loose")))), keep)
+    by_place = F.sort_array(F.transform(cs, lambda c: F.struct(*[c[f].alias(f) for f in fields])))
+    by_kind = ("kind", "start", "end", "match", "before", "base", "loose")
+    return F.sort_array(F.transform(common.let(by_place, keep), lambda c: F.struct(*[c[f].alias(f) for f in by_kind])))
 
 
 def _joined(found: Column) -> Column:
@@ -335,7 +350,8 @@ def mask(docs: DataFrame) -> DataFrame:
     Texts that changed are swept once more: a number that began inside of a masked one may only now be a match.
     """
     weights = learn(docs)
-    text = F.col("text")
-    twice = common.let(_masked(text, weights), lambda t: F.when(t == text, t).otherwise(_masked(t, weights)))
-    out = docs.withColumn("text", F.when(text.isNull(), text).otherwise(twice))
+    text, once = F.col("text"), common.fresh(docs.columns)
+    swept = docs.withColumn(once, _masked(text, weights))  # a column of its own keeps the expressions flat enough to resolve
+    twice = F.when(F.col(once) == text, text).otherwise(_masked(F.col(once), weights))
+    out = swept.withColumn("text", F.when(text.isNull(), text).otherwise(twice)).drop(once)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

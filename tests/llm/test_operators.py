@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from filelake.llm import encoding, imatch, jaccard, licenses, packing, personal_data, quality, secret_spans, simple8b, transducer
 from filelake.llm.queries import QUERIES
@@ -304,6 +305,23 @@ def network(spark, corpus):
     return secret_spans.train(spark.read.parquet(f"{corpus}/documents.parquet"))
 
 
+def test_loose_spans_beside_base_spans(spark):
+    """The kept spans are those of the plain rule (no overlap with any base span), for arrays of any shape."""
+    r = random.Random(8)
+    rows = []
+    for n in (0, 1, 2, 5, 40, 300):
+        spans = [(r.randint(0, 3), a, a + r.randint(1, 9), r.random() < 0.4) for a in (r.randint(0, 6 * n) for _ in range(n))]
+        rows.append(([(k, a, b, "x" * (b - a), "", base, not base or r.random() < 0.5) for k, a, b, base in spans],))
+    schema = "cs array<struct<kind:int,start:int,end:int,match:string,before:string,base:boolean,loose:boolean>>"
+    weights = {k: [10.0] + [0.0] * personal_data.N_FEATURES for k in range(4)}
+    got = spark.createDataFrame(rows, schema).select("cs", personal_data.spans(F.col("cs"), weights).alias("s")).collect()
+    assert len(got) == len(rows)
+    for cs, s in got:
+        base = [c for c in cs if c.base]
+        assert [tuple(c) for c in s] == sorted(
+            tuple(c) for c in cs if c.base or not any(b.start < c.end and c.start < b.end for b in base))
+
+
 def test_secrets(spark, corpus, rows):
     def answer(text, r):
         base = plain_secrets(text)
@@ -350,6 +368,23 @@ def test_keys_are_no_negative_examples():
     assert seen == [("path/of/things/risk-file-number-12", 0)]
 
 
+def test_secrets_of_a_text_with_very_many_tokens(monkeypatch):
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefgh0123456789XYZ", k=r.randint(3, 30))) for _ in range(3000)]
+    texts = [" ".join(words[:2500]) + " token=abcdef123456", "", " ".join(words[2500:]), "deadbeef" * 4 + "0" * 9]
+    bases = [secret_spans.base_spans(t) for t in texts]
+    net = secret_spans.Network()
+    whole = secret_spans.sure_spans(net, texts, bases)
+    monkeypatch.setattr(secret_spans, "LOOKS", 7)
+    held = []
+    score = net.score
+    monkeypatch.setattr(net, "score", lambda x: held.append(len(x)) or score(x))
+    assert secret_spans.sure_spans(net, texts, bases) == whole and max(held) == 7
+    for text, base in zip(texts, bases):
+        for a, b in secret_spans.candidates(text, base):
+            assert not any(s < b and a < e for s, _, e in base)
+
+
 def test_network_gradient():
     net = secret_spans.Network()
     x = np.array([secret_spans.look(*e)[0] for e in sum(secret_spans.made_up(random.Random(7)), [])[::40]])
