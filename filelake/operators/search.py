@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import fixed, paths, snippets, text
 from ..session import staged
-from . import filters, meta_filters
+from . import filters, gram_index, meta_filters
 from .textindex import BODIES, NAMES, TextIndex, term_head
 
 FIELD_WEIGHTS = {"name": fixed.NAME_WEIGHT, "dir": fixed.DIR_WEIGHT, "body": 1.0}
@@ -22,13 +22,14 @@ ENTRY_COLUMNS = ("path", "name", "dir", "ext", "size", "mtime", "mimeclass")
 
 @dataclass(frozen=True)
 class SearchTables:
-    """What a search reads: catalogue, metadata, bodies, text index and the field catalogue."""
+    """What a search reads: catalogue, metadata, bodies, text index, field catalogue, and the pieces of names if they are stored."""
 
     files: DataFrame
     file_meta: DataFrame
     content: DataFrame
     index: TextIndex
     fields: DataFrame
+    grams: gram_index.GramIndex | None = None
 
 
 @dataclass(frozen=True)
@@ -203,26 +204,21 @@ def _substring_rows(requests: DataFrame, tables: SearchTables) -> DataFrame:
     wanted = wanted.where(
         (F.size("terms") > 0) & F.forall("terms", lambda t: F.length(t) >= fixed.MIN_SUBSTRING_CHARS)
     ).withColumn("longest", F.array_max(F.transform("terms", lambda t: F.struct(F.length(t), t.alias("t"))))["t"])
-    keyed = wanted.select("request_id", "terms", F.substring("longest", 1, 3).alias("gram"))
-    low = F.lower("name")
-    last = F.length(low) - 2
-    grams = F.array_distinct(
-        F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    )
-    pieces = tables.files.select("path", low.alias("low"), F.explode_outer(grams).alias("gram"))
-    found = (
-        pieces.join(keyed, "gram").where(F.forall("terms", lambda t: F.col("low").contains(t)))
-        .select("request_id", "path", F.lit(fixed.SUBSTRING_SCORE).alias("score"), F.lit("name").alias("matched_in"),
-                F.lit(True).alias("fallback"))
-    )
+    if tables.grams is not None:
+        names = gram_index.holding(wanted.select("request_id", "terms"), tables.grams)
+    else:
+        keyed = wanted.select("request_id", "terms", F.substring("longest", 1, 3).alias("gram"))
+        names = gram_index.gram_rows(tables.files).join(keyed, "gram").where(F.forall("terms", lambda t: F.col("low").contains(t)))
+    found = names.select("request_id", "path", F.lit(fixed.SUBSTRING_SCORE).alias("score"), F.lit("name").alias("matched_in"),
+                         F.lit(True).alias("fallback"))
     return _described(requests, found, tables)
 
 
 def substring_fallback(requests: DataFrame, tables: SearchTables) -> DataFrame:
     """Files whose name contains every term of a request, for requests whose terms all have three characters.
 
-    Candidates come from an equality join on the first three characters of the longest term against the
-    three-character pieces of each name; the full containment test follows on those rows only.
+    With stored pieces (``tables.grams``) a request reads the names of its rarest piece only. Without, names are cut on the
+    fly and joined on the first three characters of the longest term. The full containment test follows on those rows.
     """
     return _meta_filtered(requests, _substring_rows(requests, tables), tables)
 
@@ -407,7 +403,7 @@ def search(requests: DataFrame, tables: SearchTables, roots: list[str] | DataFra
     ``max_window`` and ``max_filters``, if given, refuse later pages and requests of more metadata filters."""
     if roots is not None:
         confined = filters.in_scope(tables.files, roots)
-        tables = SearchTables(confined, tables.file_meta, tables.content, tables.index, tables.fields)
+        tables = SearchTables(confined, tables.file_meta, tables.content, tables.index, tables.fields, tables.grams)
     good, errors = valid_requests(requests, tables, max_window, max_filters)
     good = staged(good, "requests")
     hits = staged(all_hits(good, tables), "hits")
