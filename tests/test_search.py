@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from filelake import schema
 from filelake.functions import snippets
-from filelake.operators import fields, search, textindex
+from filelake.operators import fields, gram_index, search, textindex
 from filelake.plans.filter_queries import META_SCHEMA  # noqa: F401
 
 FILES = [
@@ -124,3 +124,16 @@ def test_written_index_prunes_partitions(spark, corpus, tmp_path):
     r = requests(spark, [dict(request_id="q", q="report")])
     a = search.text_hits(r, index, "bodies").collect()
     assert sorted(map(str, a)) == sorted(map(str, search.text_hits(r, corpus.index, "bodies").collect()))
+
+
+def test_stored_pieces_find_what_names_hold(spark, tmp_path):
+    names = ["abcabc.txt", "ABC.md", "xbcd", "ab", "", "Straße.TXT", "a b c abc"] + [f"abc{i}.log" for i in range(60)]
+    files = spark.createDataFrame([(f"/f/{i}", n) for i, n in enumerate(names)], "path string, name string")
+    index = gram_index.build_gram_index(files, str(tmp_path), buckets=3, slices=4)
+    asked = {"r1": ["abc"], "r2": ["abc", "txt"], "r3": ["bcd"], "r4": ["zzz", "abc"], "r5": ["ab"], "r6": [], "r7": ["aße"], "r8": ["abc5", ".log"]}
+    wanted = spark.createDataFrame(list(asked.items()), "request_id string, terms array<string>")
+    got = {(r.request_id, r.path) for r in gram_index.holding(wanted, index).collect()}
+    assert got == {(k, f"/f/{i}") for k, terms in asked.items() if terms and min(map(len, terms)) >= 3
+                   for i, n in enumerate(names) if all(t in n.lower() for t in terms)}
+    assert {r.request_id: r.gram for r in gram_index.rarest(wanted.where("request_id = 'r2'"), index).collect()} == {"r2": "txt"}
+    assert {r.gram: r.n for r in index.counts.collect()}["abc"] == 63
