@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import catalog
+from ..schema import FILES
 from ..session import shared_dir
-from ..sources import snapshots
+from ..sources import bucketed, snapshots
 from . import views
-from .registry import query
+from .registry import ORACLES, query
 from .sql import with_views
 
 SEEN = ("path", "size", "mtime", "mimeclass", "content_indexed", "meta_extracted", "gen")
@@ -72,6 +73,26 @@ def diff_snapshots(spark, sf_dir):
     return catalog.diff_snapshots(views.old_files(spark, sf_dir), views.new_scan(spark, sf_dir))
 
 
+BUCKETS = 64
+
+
+def bucketed_files(spark, sf_dir):
+    """The catalogue of generation 1 as a bucketed snapshot: joins on its paths move the other side only."""
+    path = f"{shared_dir(views.prepare(spark))}/bucketed/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    bucketed.write_bucketed(views.old_files(spark, sf_dir), path, BUCKETS)
+    return bucketed.read_bucketed(spark, path, FILES, BUCKETS)
+
+
+@query(ORACLES["upsert_scan"])
+def upsert_bucketed(spark, sf_dir):
+    return catalog.apply_scan(bucketed_files(spark, sf_dir), views.new_scan(spark, sf_dir), 2).select(*SEEN)
+
+
+@query(ORACLES["diff_snapshots"])
+def diff_bucketed(spark, sf_dir):
+    return catalog.diff_snapshots(bucketed_files(spark, sf_dir), views.new_scan(spark, sf_dir))
+
+
 @query(with_views("applied") + """SELECT path, ext, size FROM applied WHERE NOT content_indexed AND size <= 20000
        AND ext IN ('txt', 'md', 'html') AND (path LIKE '/lake/docs/src1/%' OR path LIKE '/lake/web/%') AND path LIKE '/lake/%'""")
 def content_candidates(spark, sf_dir):

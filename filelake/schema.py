@@ -18,6 +18,8 @@ FILES = _struct(
     ("content_indexed", B), ("meta_extracted", B), ("gen", L),
 )
 
+CONTENT = _struct(("path", S), ("body", S))
+
 FILE_META = _struct(("path", S), ("key", S), ("value", S), ("num", D))
 
 META_FILTER = _struct(("key", S), ("op", S), ("value", S))
