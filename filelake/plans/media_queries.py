@@ -401,7 +401,7 @@ def asof_last(spark, sf_dir):
     """The last keyframe at or before arbitrary times, without assuming a fixed grid."""
     p = keyframe_plans(spark, sf_dir).select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("segment_count") - 1)).alias("m"))
     times = p.select("path", (F.col("m") * SEG + 7).alias("pts"))
-    return ordered.asof_last(keyframes(spark, sf_dir), times, ["path"], "pts", "dts", 3600.0)
+    return ordered.asof_last(keyframes(spark, sf_dir), times, ["path"], "pts", "dts")
 
 
 # --- patterns and markup ----------------------------------------------------------------------------------

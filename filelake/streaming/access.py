@@ -21,10 +21,10 @@ def access_sessions(log: DataFrame, watermark: str = "10 minutes") -> DataFrame:
     return grouped.select("user_id", "path", F.col("w.start").alias("first"), F.col("w.end").alias("expires"), "n")
 
 
-def access_sessions_batch(log: DataFrame, width: float = 86400.0) -> DataFrame:
-    """The same on a table, cut into time buckets so that one busy user is spread over many tasks."""
+def access_sessions_batch(log: DataFrame) -> DataFrame:
+    """The same on a table, cut into parts of equal depth so that one busy user is spread over many tasks."""
     rows = log.withColumn("t", F.unix_micros("ts"))
-    found = ordered.sessions(rows, ["user_id", "path"], "t", "t", GAP_SECONDS * 1_000_000, width * 1e6)
+    found = ordered.sessions(rows, ["user_id", "path"], "t", "t", GAP_SECONDS * 1_000_000)
     return found.select(
         "user_id", "path", F.timestamp_micros("first").alias("first"),
         F.timestamp_micros(F.col("last") + GAP_SECONDS * 1_000_000).alias("expires"), "n")

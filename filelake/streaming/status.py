@@ -128,10 +128,10 @@ def status_transitions(status: DataFrame, watermark: str = WATERMARK) -> DataFra
     return _in_order(status, watermark, _Changes(), _TRANSITION)
 
 
-def status_transitions_batch(status: DataFrame, width: float = 86400.0) -> DataFrame:
-    """The same on a table, by looking one row back inside time buckets."""
+def status_transitions_batch(status: DataFrame) -> DataFrame:
+    """The same on a table, by looking one row back."""
     rows = status.withColumn("t", F.unix_micros("ts") / 1e6)
-    back = ordered.previous(rows, ["index_id"], "t", "seq", "state", width, "previous")
+    back = ordered.previous(rows, ["index_id"], "t", "seq", "state", "previous")
     return back.where(F.col("previous").isNull() | (F.col("previous") != F.col("state"))).select(*_TRANSITION.names)
 
 
@@ -176,10 +176,10 @@ def stall_alerts(status: DataFrame, gap_seconds: float = 15.0, watermark: str =
     return _in_order(status, watermark, _Pauses(round(gap_seconds * 1_000_000)), _ALERT)
 
 
-def stall_alerts_batch(status: DataFrame, gap_seconds: float = 15.0, width: float = 86400.0) -> DataFrame:
+def stall_alerts_batch(status: DataFrame, gap_seconds: float = 15.0) -> DataFrame:
     """Pauses between two rows of a table of status rows."""
     rows = status.withColumn("t", F.unix_micros("ts"))
-    back = ordered.previous(rows, ["index_id"], "t", "seq", "t", width * 1e6, "before")
+    back = ordered.previous(rows, ["index_id"], "t", "seq", "t", "before")
     quiet = back.where(F.col("t") - F.col("before") >= int(gap_seconds * 1_000_000))
     return quiet.select(
         "index_id", F.timestamp_micros("before").alias("last_ts"),

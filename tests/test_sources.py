@@ -120,14 +120,33 @@ def test_segments_and_keyframes(spark):
         (True, 9.9), (True, 19.9), (False, 29.5), (True, None)]
 
 
-def test_buckets_do_not_change_the_answer(spark):
-    rows = spark.range(400).select((F.col("id") % 2).alias("k"), (F.pmod(F.hash("id"), F.lit(5000))).cast("double").alias("t"), F.col("id").alias("s"))
-    answers = [sorted(map(str, ordered.previous(rows, ["k"], "t", "s", "s", w, "p").select("k", "t", "s", "p").collect())) for w in (1.0, 37.0, 1e9)]
-    assert answers[0] == answers[1] == answers[2]
-    runs = [sorted(map(str, ordered.sessions(rows, ["k"], "t", "s", 20.0, w).collect())) for w in (3.0, 1e9)]
+def test_parts_do_not_change_the_answer(spark):
+    """Two keys, one key with all rows but three, and NULL keys and values, in one part and in many."""
+    t = F.pmod(F.hash("id"), F.lit(5000)).cast("double")
+    value = F.when(F.col("id") % 7 > 0, F.col("id"))
+    two = spark.range(400).select((F.col("id") % 2).alias("k"), t.alias("t"), F.col("id").alias("s"), value.alias("v"))
+    one = spark.range(400).select(F.when(F.col("id") > 396, F.col("id")).when(F.col("id") != 5, F.lit(9)).alias("k"), t.alias("t"), F.col("id").alias("s"), value.alias("v"))
+    for rows in (two, one):
+        told = rows.orderBy("t", "s").collect()
+        before, known, last, held = {}, {}, {}, {}
+        for r in told:
+            before[r["s"]] = last.get(r["k"])
+            last[r["k"]] = r["v"]
+            held[r["k"]] = held.get(r["k"]) if r["v"] is None else r["v"]
+            known[r["s"]] = held[r["k"]]
+        for n in (1, 5, 60):
+            assert {r["s"]: r["p"] for r in ordered.previous(rows, ["k"], "t", "s", "v", "p", n).collect()} == before
+            assert {r["s"]: r["p"] for r in ordered.last_known(rows, ["k"], "t", "s", "v", "p", n).collect()} == known
+    runs = [sorted(map(str, ordered.sessions(two, ["k"], "t", "s", 20.0, n).collect())) for n in (1, 40)]
     assert runs[0] == runs[1] and len(runs[0]) > 10
 
 
+def test_one_key_is_spread_over_all_parts(spark):
+    rows = spark.range(8000).select(F.lit("hot").alias("k"), F.col("id").alias("t"), F.lit(0).alias("s"))
+    sizes = [r["count"] for r in ordered.in_parts(rows, ["k"], "t", "s", 16).groupBy(ordered.PART).count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 8000 / 16
+
+
 def test_unreadable_probes_cost_only_themselves(spark):
     probes = metadata.parse_probes(spark.createDataFrame([
         ("/a.mkv", '{"format":{"format_name":"matroska,webm"},"streams":[{"index":0,"codec_type":"video","codec_name":"mjpeg"},{"index":1,"codec_type":"video","codec_name":"h264","width":640,"height":360}]}'),
