@@ -6,9 +6,10 @@ and sorted. For each of ``REPEATS`` random numberings of the terms, nested subse
 the lexicon; the text's terms in a subset are hashed to one code. A fingerprint has the codes of the two subset sizes
 in which a text of that many terms has about one term and less, so short and long texts are told apart equally well.
 
-Document frequencies are counted over all documents, per 64-bit term hash. The lexicon is the bitmap of the buckets that
-hold a term whose own frequency is in the band: ``BUCKETS / 8`` bytes (2 MB) whatever the corpus, which is what makes it
-safe to broadcast. No term of the band is left out; one outside it passes if it shares its bucket with one inside.
+Document frequencies are counted over all documents, per 64-bit term hash. The lexicon is a blocked Bloom filter of the
+terms whose own frequency is in the band, with 16 bits a term counted: it grows with the lexicon up to ``MOST_BLOCKS`` blocks
+of 32 bytes (128 MB, 67 million terms), the bound that makes it safe to broadcast. No term of the band is left out. One outside
+it passes in about one of 500 cases; beyond 67 million terms more do, with 134 million about one of 30.
 
 Words are runs outside space and \\t..\\r, A-Z taken as a-z. Defined cases: a null text is empty; a text without words
 has the all-empty fingerprint; with fewer than ``FEWEST`` terms in the band all of a text's terms are used. An empty
@@ -26,18 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from filelake.llm import common, wordhash
+from filelake.llm import url_list, wordhash
 
-BUCKETS = 1 << 24
+MOST_BLOCKS = 1 << 22
 REPEATS = 48
 FEWEST = 8
 WIDTH = 4 * REPEATS  # hex digits of one subset size
 
 
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in wordhash.slices(batch.column(0)):
@@ -48,10 +45,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Lexicon:
-    bits: bytes
+    table: np.ndarray
 
     def member(self, hashes: np.ndarray) -> np.ndarray:
-        return common.has_bit(self.bits, _bucket(hashes))
+        return url_list.has(self.table, hashes)
 
 
 def build_lexicon(docs: DataFrame, low: float = 0.2, high: float = 0.95) -> Lexicon:
@@ -60,8 +57,11 @@ def build_lexicon(docs: DataFrame, low: float = 0.2, high: float = 0.95) -> Lexi
     scale = math.log(n) if n > 1 else 1.0
     counts = docs.select("text").mapInArrow(_count, "term long, n long").groupBy("term").agg(F.sum("n").alias("df"))
     share = F.log(F.lit(float(max(n, 1))) / F.col("df")) / scale
-    inside = counts.where(share.between(low, high)).select(F.shiftrightunsigned("term", 64 - BUCKETS.bit_length() + 1).alias("bucket"))
-    return Lexicon(common.bitmap(inside, "bucket", BUCKETS))
+    inside = counts.where(share.between(low, high)).select("term").persist()  # 8 bytes a term; a lost part is made again
+    try:
+        return Lexicon(url_list.filter_of(inside, url_list.blocks_for(inside.count(), MOST_BLOCKS)))
+    finally:
+        inside.unpersist()
 
 
 def _level(n: np.ndarray) -> np.ndarray:

@@ -55,10 +55,13 @@ def masks(hashes: np.ndarray, blocks: int) -> tuple[np.ndarray, np.ndarray]:
     return block.astype(np.int64), words
 
 
-def build_filter(listed: DataFrame) -> np.ndarray:
-    """The filter of ``listed.key`` (canonical URLs): blocks x 4 words. Parts are made in tasks and joined by bit_or."""
-    n = listed.count()
-    blocks = min(MOST_BLOCKS, max(1, math.ceil(n * BITS / 256)))
+def blocks_for(n: int, most: int) -> int:
+    """Blocks that give each of n keys ``BITS`` bits, but at most ``most``."""
+    return min(most, max(1, math.ceil(n * BITS / 256)))
+
+
+def filter_of(hashes: DataFrame, blocks: int) -> np.ndarray:
+    """The filter of the 64-bit hashes in the only column: blocks x 4 words. Parts are made in tasks and joined by bit_or."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -66,13 +69,24 @@ def build_filter(listed: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(block), *(pa.array(words[:, k].view(np.int64)) for k in range(4))],
                                              ["block", "w0", "w1", "w2", "w3"])
 
-    parts = listed.select(F.xxhash64("key")).mapInArrow(part, "block long, w0 long, w1 long, w2 long, w3 long")
+    parts = hashes.mapInArrow(part, "block long, w0 long, w1 long, w2 long, w3 long")
     found = parts.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(4)]).toPandas()
     table = np.zeros((blocks, 4), np.uint64)
     table[found["block"].to_numpy()] = found[["w0", "w1", "w2", "w3"]].to_numpy(np.int64).view(np.uint64)
     return table
 
 
+def has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets pass."""
+    block, words = masks(hashes, len(table))
+    return ((table[block] & words) == words).all(axis=1)
+
+
+def build_filter(listed: DataFrame) -> np.ndarray:
+    """The filter of ``listed.key`` (canonical URLs)."""
+    return filter_of(listed.select(F.xxhash64("key")), blocks_for(listed.count(), MOST_BLOCKS))
+
+
 def is_listed(pages: DataFrame, listed: DataFrame, key: str = "canonical", out: str = "listed") -> DataFrame:
     """``pages`` with a boolean column: whether ``pages[key]``, of any type, is among the distinct ``listed.key``.
 
@@ -85,9 +99,7 @@ def is_listed(pages: DataFrame, listed: DataFrame, key: str = "canonical", out:
 
     @F.pandas_udf("boolean")
     def possible(hashes: pd.Series) -> pd.Series:
-        table = shared.value
-        block, words = masks(hashes.to_numpy(np.int64).view(np.uint64), len(table))
-        return pd.Series(((table[block] & words) == words).all(axis=1))
+        return pd.Series(has(shared.value, hashes.to_numpy(np.int64).view(np.uint64)))
 
     seen = pages.select(F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("row"), F.col(key).alias("key"))
     seen = seen.withColumn("possible", possible(F.xxhash64("key")))

@@ -70,20 +70,54 @@ def test_lexicon_band_and_likeness(spark):
     assert imatch.likeness(a, a) == 1.0 and imatch.likeness(a, b) == 0.0
 
 
-def test_frequencies_are_counted_per_term(spark):
+def test_lexicon_holds_its_terms_and_few_others(spark):
+    """Every term of the band by plain counting is in; the filter grows with them and lets hardly any other pass."""
     from filelake.llm import wordhash
 
-    made = [f"w{k}" for k in range(30_000)]
-    seen, pair = {}, None
-    for w, b in zip(made, imatch._bucket(wordhash.words(pa.array([" ".join(made)]))[0]).tolist()):
-        if b in seen:
-            pair = (seen[b], w)
-            break
-        seen[b] = w
-    docs = spark.createDataFrame([(k, f"the {pair[k] if k < 2 else ''} both{k // 2}") for k in range(64)], "doc_id long, text string")
-    lexicon = imatch.build_lexicon(docs, 0.2, 0.9)  # each of the pair is in one document, both in two
-    inside = lexicon.member(wordhash.words(pa.array([f"{pair[0]} {pair[1]} both7 the"]))[0])
-    assert inside.tolist() == [False, False, True, False]
+    texts = [" ".join(f"w{(k * 97 + i) % 40_000}" for i in range(260)) + f" the lone{k}" for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon = imatch.build_lexicon(docs, 0.2, 0.95)
+    df = Counter(w for t in texts for w in set(t.split()))
+    band = {w for w, n in df.items() if 0.2 <= np.log(400 / n) / np.log(400) <= 0.95}
+    inside = lexicon.member(wordhash.words(pa.array([" ".join(sorted(band))]))[0])
+    assert inside.all() and len(band) > 20_000 and len(lexicon.table) * 256 >= 16 * len(band)
+    others = [*(w for w in df if w not in band), *(f"x{k}" for k in range(50_000))]
+    assert lexicon.member(wordhash.words(pa.array([" ".join(others)]))[0]).mean() < 0.005
+
+
+def plain_fingerprint(text, band):
+    """Level and codes by the method's description, term by term."""
+    from filelake.llm import wordhash
+
+    def h(x):
+        return int(wordhash.mix(np.array([x & (2**64 - 1)], np.uint64))[0])
+
+    words = sorted({w.translate({c: c + 32 for c in range(65, 91)}) for w in re.findall(f"[^{SPACE}]+", text)})
+    terms = [w for w in words if w in band]
+    terms = words if len(terms) < imatch.FEWEST else terms
+    level = max(0, int(np.ceil(np.log2(max(len(terms), 1) / 2) / 2)))
+    numbers = [int(wordhash.words(pa.array([w]))[0][0]) for w in terms]
+    out = []
+    for depth in (level, level + 1):
+        for r in range(1, imatch.REPEATS + 1):
+            chosen = [n for n in (h(x ^ h(r << 32)) for x in numbers) if n >> (64 - 2 * depth) == 0 or depth == 0]
+            code = sum(map(h, chosen)) % 2**64
+            out.append(0 if code == 0 else 1 + h(code) % 65535)
+    return f"{level:x}:" + "".join(f"{c:04x}" for c in out)
+
+
+def test_fingerprints_equal_the_plain_method(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"W{w}" for w in rng.zipf(1.3, int(n)) % 5000) for n in rng.integers(0, 400, 60)] + ["", "one", " \t ", "a b c d e f g h i"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lexicon = imatch.build_lexicon(docs)
+    df = Counter(w for t in texts for w in set(t.lower().split()))
+    band = {w for w, n in df.items() if 0.2 <= np.log(len(texts) / n) / np.log(len(texts)) <= 0.95}
+    from filelake.llm import wordhash
+
+    leaked = {w for w in df if w not in band and lexicon.member(wordhash.words(pa.array([w]))[0])[0]}
+    got = imatch.fingerprints(pa.array(texts), lexicon)
+    assert got == [plain_fingerprint(t, band | leaked) for t in texts] and len(leaked) <= 0.01 * len(df) + 3
 
 
 # 2 ---------------------------------------------------------------------------------------------------------------
