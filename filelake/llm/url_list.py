@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filelake.llm import common
+
 BITS = 16
 MOST_BLOCKS = 1 << 21
 SALTS = 16  # seats over which the rows of one listed URL are spread in the exact join
@@ -61,18 +63,32 @@ def blocks_for(n: int, most: int) -> int:
 
 
 def filter_of(hashes: DataFrame, blocks: int) -> np.ndarray:
-    """The filter of the 64-bit hashes in the only column: blocks x 4 words. Parts are made in tasks and joined by bit_or."""
+    """The filter of the 64-bit hashes in the only column: blocks x 4 words.
+
+    Hashes go to the task that has their stretch of blocks, as they are; each task hands its stretch to the driver, which
+    gets the filter's bytes, whatever the rows.
+    """
+    name = hashes.columns[0]
+    n = min(blocks, common.partitions(hashes.sparkSession))
+    block = F.shiftright(F.shiftrightunsigned(name, 32) * F.lit(blocks), 32)
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
         for batch in batches:
-            block, words = masks(batch.column(0).to_numpy().view(np.uint64), blocks)
-            yield pa.RecordBatch.from_arrays([pa.array(block), *(pa.array(words[:, k].view(np.int64)) for k in range(4))],
-                                             ["block", "w0", "w1", "w2", "w3"])
-
-    parts = hashes.mapInArrow(part, "block long, w0 long, w1 long, w2 long, w3 long")
-    found = parts.groupBy("block").agg(*[F.bit_or(f"w{k}").alias(f"w{k}") for k in range(4)]).toPandas()
+            at, words = masks(batch.column(0).to_numpy().view(np.uint64), blocks)
+            seats = at * n // blocks
+            for seat in np.unique(seats).tolist():
+                first, end = (-(-s * blocks // n) for s in (seat, seat + 1))
+                here = seats == seat
+                np.bitwise_or.at(made.setdefault(seat, np.zeros((end - first, 4), np.uint64)), at[here] - first, words[here])
+        for seat, stretch in made.items():
+            yield pa.RecordBatch.from_pydict({"first": pa.array([-(-seat * blocks // n)]), "words": pa.array([stretch.tobytes()])})
+
+    placed = hashes.repartitionById(n, F.floor(block * F.lit(n) / F.lit(blocks)).cast("int"))
     table = np.zeros((blocks, 4), np.uint64)
-    table[found["block"].to_numpy()] = found[["w0", "w1", "w2", "w3"]].to_numpy(np.int64).view(np.uint64)
+    for row in placed.mapInArrow(part, "first long, words binary").collect():
+        stretch = np.frombuffer(bytes(row["words"]), np.uint64).reshape(-1, 4)
+        table[row["first"] : row["first"] + len(stretch)] |= stretch
     return table
 
 
@@ -84,7 +100,7 @@ def has(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def build_filter(listed: DataFrame) -> np.ndarray:
     """The filter of ``listed.key`` (canonical URLs)."""
-    return filter_of(listed.select(F.xxhash64("key")), blocks_for(listed.count(), MOST_BLOCKS))
+    return filter_of(listed.select(F.xxhash64("key").alias("hash")), blocks_for(listed.count(), MOST_BLOCKS))
 
 
 def is_listed(pages: DataFrame, listed: DataFrame, key: str = "canonical", out: str = "listed") -> DataFrame:
