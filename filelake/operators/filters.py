@@ -20,21 +20,23 @@ ENUMERABLE_COMMON = ("ext", "mime")
 def in_scope(df: DataFrame, roots: Iterable[str] | DataFrame, col: str = "path") -> DataFrame:
     """Rows at or below any root; an empty root list keeps nothing.
 
-    A handful of roots is a filter that can reach the scan. A table of roots (column ``root``) becomes an
-    equi semi-join on the path's ancestors, so neither side is compared pairwise.
+    A handful of roots is a filter that can reach the scan. With a table of roots (column ``root``) the distinct
+    directories of the rows are decided first, by equality on their ancestors; rows then look up their directory, and
+    themselves among the roots. Only directories and roots are shuffled, unless they are too many for Spark to broadcast.
     """
     if not isinstance(roots, DataFrame):
         return df.where(paths.within_any(col, roots))
     keys = roots.select(
         F.when(F.rtrim("root", F.lit("/")) == "", F.lit("/")).otherwise(F.rtrim("root", F.lit("/"))).alias("_root")
     ).distinct()
+    above = F.regexp_extract(col, "^(?s:(.*))/[^/]*$", 1)
+    rows = df.withColumn("_dir", F.when(above == "", F.lit("/")).otherwise(above)).withColumn("_self", F.regexp_replace(col, "^/?", "/"))
     inside = (
-        df.select(F.col(col).alias("_p"), F.explode_outer(paths.ancestors(col)).alias("_root"))
-        .join(keys, "_root", "left_semi")
-        .select("_p")
-        .distinct()
+        rows.select("_dir").distinct().select("_dir", F.explode(paths.ancestors("_dir")).alias("_root"))
+        .join(keys, "_root", "left_semi").select("_dir").distinct().withColumn("_below", F.lit(True))
     )
-    return df.join(inside, df[col] == inside["_p"], "left_semi")
+    itself = keys.select(F.col("_root").alias("_self"), F.lit(True).alias("_is"))
+    return rows.join(inside, "_dir", "left").join(itself, "_self", "left").where("_below OR _is").select(*df.columns)
 
 
 def in_dir_scope(df: DataFrame, scope: str) -> DataFrame:

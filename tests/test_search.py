@@ -137,3 +137,17 @@ def test_stored_pieces_find_what_names_hold(spark, tmp_path):
                    for i, n in enumerate(names) if all(t in n.lower() for t in terms)}
     assert {r.request_id: r.gram for r in gram_index.rarest(wanted.where("request_id = 'r2'"), index).collect()} == {"r2": "txt"}
     assert {r.gram: r.n for r in index.counts.collect()}["abc"] == 63
+
+
+def test_scope_of_a_root_table(spark):
+    """Roots that are files, the whole tree, doubled or nested roots, odd paths: as the plain ancestor rule says."""
+    from filelake.functions import paths as path_functions
+    from filelake.operators import filters
+
+    names = ["/", "/a", "/a/b", "/a/b/c.txt", "/a/bc", "/ab/c", "/x.txt", "/a/b\n/d", "rel/f", "/a//b", None]
+    df = spark.createDataFrame([(n, k) for k, n in enumerate(names * 2)], "path string, _root int")
+    ancestors = {r[0]: set(r[1] or ()) for r in df.select("path", path_functions.ancestors("path")).collect()}
+    for roots in (["/a/b/"], ["/"], ["/a/b/c.txt", "/ab", "/ab/"], ["/rel", "/a", "/a/b"], ["/a/b\n"], [], [None]):
+        wanted = {"/" if r.rstrip("/") == "" else r.rstrip("/") for r in roots if r is not None}
+        got = sorted(r["_root"] for r in filters.in_scope(df, spark.createDataFrame([(r,) for r in roots], "root string")).collect())
+        assert got == [k for k, n in enumerate(names * 2) if ancestors[n] & wanted], roots
