@@ -6,7 +6,7 @@ and sorted. For each of ``REPEATS`` random numberings of the terms, nested subse
 the lexicon; the text's terms in a subset are hashed to one code. A fingerprint has the codes of the two subset sizes
 in which a text of that many terms has about one term and less, so short and long texts are told apart equally well.
 
-Document frequencies are counted over all documents, per 64-bit term hash. The lexicon is a blocked Bloom filter of the
+Document frequencies are counted over all documents, per term hash of 56 bits (the eighth byte would only move). The lexicon is a blocked Bloom filter of the
 terms whose own frequency is in the band, with 16 bits a term counted: it grows with the lexicon up to ``MOST_BLOCKS`` blocks
 of 32 bytes (128 MB, 67 million terms), the bound that makes it safe to broadcast. No term of the band is left out. One outside
 it passes in about one of 500 cases; beyond 67 million terms more do, with 134 million about one of 30.
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from filelake.llm import url_list, wordhash
 
 MOST_BLOCKS = 1 << 22
+KEY = ~np.uint64(0xFF)  # the bits of a term hash by which it is counted
 REPEATS = 48
 FEWEST = 8
 WIDTH = 4 * REPEATS  # hex digits of one subset size
@@ -39,7 +40,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, texts in wordhash.slices(batch.column(0)):
             hashes, offsets = wordhash.distinct(*wordhash.words(texts))
-            term, n = np.unique(hashes, return_counts=True)
+            term, n = np.unique(hashes & KEY, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(term.view(np.int64)), pa.array(n)], ["term", "n"])
 
 
@@ -48,7 +49,7 @@ class Lexicon:
     table: np.ndarray
 
     def member(self, hashes: np.ndarray) -> np.ndarray:
-        return url_list.has(self.table, hashes)
+        return url_list.has(self.table, hashes & KEY)
 
 
 def build_lexicon(docs: DataFrame, low: float = 0.2, high: float = 0.95) -> Lexicon:
