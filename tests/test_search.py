@@ -151,3 +151,35 @@ def test_scope_of_a_root_table(spark):
         wanted = {"/" if r.rstrip("/") == "" else r.rstrip("/") for r in roots if r is not None}
         got = sorted(r["_root"] for r in filters.in_scope(df, spark.createDataFrame([(r,) for r in roots], "root string")).collect())
         assert got == [k for k, n in enumerate(names * 2) if ancestors[n] & wanted], roots
+
+
+def test_matches_stay_in_the_slices_of_a_written_index(spark, corpus, tmp_path):
+    """Neither postings nor matches are shuffled: only the tokens of the requests travel."""
+    index = textindex.build_text_index(corpus.files, corpus.content, str(tmp_path / "i"))
+    r = requests(spark, [dict(request_id=q, q=q) for q in QUERIES])
+    for name in ("names", "bodies"):
+        parts = search.query_parts(r, name)
+        found = search.match_parts(parts, index)
+        assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+        columns = sorted(found.columns)
+        assert sorted(map(str, found.select(columns).collect())) == sorted(map(str, search.match_parts(parts, corpus.index).select(columns).collect()))
+
+
+def test_grouped_tokens_of_paths_that_come_twice(monkeypatch):
+    """Rows of one path, in one batch or several, are one if they have the same length and field."""
+    import pyarrow as pa
+
+    rows = [(None, 1, "body", ["x"]), (None, 1, "body", ["x"]), ("/a", 3, "body", ["x", "y", "x"]), ("/a", 3, "body", ["x", "y", "x"]), ("/a", 0, "body", []),
+            ("/a", 2, "body", ["y", "x"]), ("/b", None, "body", None), ("/c", 4, "dir", ["y"]), ("/c", 4, "name", ["x", "y", "y"])]
+    kinds = pa.schema([("path", pa.string()), ("doc_len", pa.int32()), ("field", pa.string()), ("tokens", pa.list_(pa.string()))])
+    want: dict = {}
+    for path, n, field, tokens in rows:
+        for i, t in enumerate(tokens or ()):
+            want.setdefault((field, t, path, n), []).append(i)
+    want = {k: sorted(v) for k, v in want.items()}
+    for most in (1, 500_000):
+        monkeypatch.setattr(textindex, "_MOST_TOKENS", most)
+        for size in (1, 2, 4, 100):
+            batches = [pa.RecordBatch.from_pylist([dict(zip(kinds.names, r)) for r in rows[i: i + size]], kinds) for i in range(0, len(rows), size)]
+            found = [r for b in textindex._group_sorted(iter(batches)) for r in b.to_pylist()]
+            assert len(found) == len(want) and {(r["field"], r["term"], r["path"], r["doc_len"]): r["positions"] for r in found} == want
