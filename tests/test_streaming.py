@@ -69,3 +69,49 @@ def test_the_stream_equals_the_table(spark, tmp_path):
     told = table.agg(F.max("ts")).first()[0] - timedelta(hours=1)
     want = {tuple(r) for r in status.status_transitions_batch(table.where(F.col("ts") <= F.lit(told))).collect()}
     assert len(got) > 1000 and got == want
+
+
+def test_groups_of_indexes_keep_them_apart(spark, tmp_path):
+    """Few groups hold many indexes, one of them unknown; a batch appends one block to a group, however many rows it has."""
+    ids = [None, 0, 3, 7, 8, -2, 1 << 60]
+    files = [[(i, at(h, n), h * 10 + n, "idle" if (h + n) % 3 else None) for n, i in enumerate(ids)] for h in (0, 1, 2, 5)]
+    files += [[(7, at(30), 900, "idle")], [(7, at(50), 901, "idle")], [(7, at(70), 902, "idle")]]
+    source = stream(spark, tmp_path / "in", *files)
+    seen, changes = {}, []
+    for i, t, q, state in sorted((r for f in files for r in f if r[1] <= at(66)), key=lambda r: r[1:3]):
+        if i not in seen or seen[i] != state:
+            changes.append((i, t, q, state, seen.get(i)))
+        seen[i] = state
+    got = run_stream(status.status_transitions(source, "4 hours", groups=2), "transitions").collect()
+    assert len(got) == len(changes) and {tuple(r) for r in got} == set(changes)
+    pauses = run_stream(status.stall_alerts(source, 5400, "4 hours", groups=2), "stalls").collect()
+    want = {(i, at(2, n), at(3, 30 + n)) for n, i in enumerate(ids)} | {(i, at(5, n), at(6, 30 + n)) for n, i in enumerate(ids)}
+    want |= {(7, at(30), at(31, 30)), (7, at(50), at(51, 30))}
+    assert len(pauses) == len(want) and {tuple(r) for r in pauses} == want
+
+
+def test_a_batch_appends_one_block_to_a_group():
+    import pandas as pd
+
+    class Handle:
+        timers: list = []
+
+        def getListState(self, name, schema):
+            self.calls = []
+            return type("S", (), {"appendValue": lambda _, v: self.calls.append(v)})()
+
+        def getValueState(self, name, schema):
+            return None
+
+        def listTimers(self):
+            return iter(self.timers)
+
+        def registerTimer(self, at):
+            self.timers = [at]
+
+    work, handle = status._Changes(), Handle()
+    work.init(handle)
+    rows = pd.DataFrame({"known": True, "id": range(5000), "ts": pd.Timestamp(DAY), "seq": range(5000), "state": "idle"})
+    clock = type("T", (), {"getCurrentWatermarkInMs": lambda _: 0})()
+    assert list(work.handleInputRows((0,), iter([rows[:3000], rows[3000:]]), clock)) == []
+    assert len(handle.calls) == 1 and status._unpacked(handle.calls[0]).num_rows == 5000 and len(handle.timers) == 1
